@@ -7,6 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from lattica.llm.common import table
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lattica.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2048, 1)
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.sharding import shard_documents
 
@@ -27,7 +35,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op4_sharding, op5_byte_bpe, op8_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op3_packing, op4_sharding, op5_byte_bpe, op8_exact_dedup)}
 
 ORACLE_SQL = {
     "op4_sharding": """
