@@ -35,7 +35,13 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op4_sharding, op5_byte_bpe, op8_exact_dedup)}
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, bits=2)
+
+
+QUERIES = {f.__name__: f for f in (op3_packing, op4_sharding, op5_byte_bpe, op8_exact_dedup, op9_simhash)}
 
 ORACLE_SQL = {
     "op4_sharding": """
