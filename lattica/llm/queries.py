@@ -41,7 +41,13 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, bits=2)
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op4_sharding, op5_byte_bpe, op8_exact_dedup, op9_simhash)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), 400).drop("text")
+
+
+QUERIES = {f.__name__: f for f in (op3_packing, op4_sharding, op5_byte_bpe, op8_exact_dedup, op9_simhash, op10_suffix_dedup)}
 
 ORACLE_SQL = {
     "op4_sharding": """
