@@ -29,6 +29,12 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op6_prefix_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.prefix_hash import fingerprint_documents
+
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.exact_dedup import exact_dedup
 
@@ -47,7 +53,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), 400).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op4_sharding, op5_byte_bpe, op8_exact_dedup, op9_simhash, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op3_packing, op4_sharding, op5_byte_bpe, op6_prefix_hash, op8_exact_dedup, op9_simhash, op10_suffix_dedup)}
 
 ORACLE_SQL = {
     "op4_sharding": """
