@@ -132,7 +132,14 @@ def id_encoder(path: str) -> Cached:
 
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
-        _TOKENIZERS[path] = Cached(lambda words: [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch([w.decode("utf-8") for w in words], add_special_tokens=False)])
+
+        def encode(words: list[bytes]) -> list[bytes]:
+            e = t.encode([w.decode("utf-8") for w in words], is_pretokenized=True, add_special_tokens=False)
+            data = np.array(e.ids, "<u4").tobytes()
+            cuts = (4 * np.searchsorted(np.array(e.word_ids), np.arange(len(words) + 1))).tolist()
+            return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+
+        _TOKENIZERS[path] = Cached(encode)
     return _TOKENIZERS[path]
 
 
