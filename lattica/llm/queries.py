@@ -35,6 +35,13 @@ def op6_prefix_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.ordinal import grade_documents
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return grade_documents(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.exact_dedup import exact_dedup
 
@@ -53,7 +60,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), 400).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op4_sharding, op5_byte_bpe, op6_prefix_hash, op8_exact_dedup, op9_simhash, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op3_packing, op4_sharding, op5_byte_bpe, op6_prefix_hash, op7_ordinal_quality, op8_exact_dedup, op9_simhash, op10_suffix_dedup)}
 
 ORACLE_SQL = {
     "op4_sharding": """
