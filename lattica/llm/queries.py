@@ -13,6 +13,12 @@ def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reply_order(table(spark, sf_dir, "conversations"))
 
 
+def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.pitman_yor import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -66,7 +72,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), 400).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_quotation_linking, op3_packing, op4_sharding, op5_byte_bpe, op6_prefix_hash, op7_ordinal_quality, op8_exact_dedup, op9_simhash, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quotation_linking, op2_pitman_yor, op3_packing, op4_sharding, op5_byte_bpe, op6_prefix_hash, op7_ordinal_quality, op8_exact_dedup, op9_simhash, op10_suffix_dedup)}
 
 ORACLE_SQL = {
     "op4_sharding": """
