@@ -8,8 +8,9 @@ becomes an array of entries ordered by key; it is merge-scanned against the leve
 keys are long matches, and levels of one size merge into the next, so that each entry is rewritten a
 logarithmic number of times.
 
-Matched entries are then resolved exactly, window by window: entries whose whole coverage occurs twice
-need no more; of the others, and one of each of those, all windows are hashed and equal ones counted.
+Matched entries are then resolved exactly: entries whose whole coverage occurs twice need no more; the
+others, and one of each of those, are split into parts of few windows, matched by what a part's windows
+have in common, judged the same way, and at last split into single windows, of which equal ones count.
 Rows carry hashes and positions; texts are read where they lie. Hashes have 64 bits over mixed bytes.
 """
 
@@ -30,6 +31,8 @@ ANCHOR = 32
 #: Bytes of text per vectorised step (one longer text is a step of its own), and rows of a list that may be broadcast.
 STEP_BYTES = 1 << 20
 BROADCAST_ROWS = 500_000
+#: Windows that the parts of unresolved runs have, step by step; the last are single windows.
+WIDTHS = (16, 1)
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -78,12 +81,12 @@ class Spans:
 
 
 def window_runs(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Entries of concatenated texts that end at ``ends``: text, key, first and last window, coverage."""
+    """Entries of concatenated texts that end at ``ends``: text, key, first and last window, anchor, coverage."""
     spans = Spans(data)
     n = len(data) - length + 1
     text = np.repeat(np.arange(len(ends)), np.diff(np.append(0, ends)))
     if n <= 0:
-        return (np.zeros(0, np.int64),) * 5
+        return (np.zeros(0, np.int64),) * 6
     bits = int(len(data)).bit_length()
     order = (spans.all(ANCHOR) >> np.uint64(bits) << np.uint64(bits)) | np.arange(len(data) - ANCHOR + 1, dtype=np.uint64)
     width, done, least = length - ANCHOR + 1, 1, order
@@ -107,7 +110,7 @@ def window_runs(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.nda
         first, last, start, stop, place = first[own], last[own], start[own], stop[own], at[own]
         shape = (last - first).astype(np.uint64) << np.uint64(32) | (place - first).astype(np.uint64)
         whole = _mix(spans.hash(first, last + length) + _mix(shape))
-        out.append((text[first], spans.hash(start, stop), first, last, whole))
+        out.append((text[first], spans.hash(start, stop), first, last, place, whole))
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
@@ -124,20 +127,28 @@ def _steps(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
         yield first, group
 
 
+_ENTRY = "d1 bigint, d2 bigint, key bigint, lo int, hi int, at int, whole bigint"
+
+
+def _entry_batch(d1, d2, key, lo, hi, at, whole) -> pa.RecordBatch:
+    hashes = (np.asarray(h, np.uint64).view(np.int64) for h in (key, whole))
+    k, w = hashes
+    return pa.RecordBatch.from_arrays([pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(k), *(pa.array(x, pa.int32()) for x in (lo, hi, at)), pa.array(w)], names=["d1", "d2", "key", "lo", "hi", "at", "whole"])
+
+
 def entries(docs: DataFrame, length: int) -> DataFrame:
-    """Entries (d1, d2, key, lo, hi, whole) of ``docs`` (d1, d2, text)."""
+    """Entries (d1, d2, key, lo, hi, at, whole) of ``docs`` (d1, d2, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d1, d2 = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             for first, texts in _steps(batch.column(2)):
                 ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
-                text, key, lo, hi, whole = window_runs(np.frombuffer(b"".join(texts), np.uint8), ends, length)
+                text, key, lo, hi, at, whole = window_runs(np.frombuffer(b"".join(texts), np.uint8), ends, length)
                 base = np.append(0, ends)[text]
-                cols = (d1[first + text], d2[first + text], key.astype(np.uint64).view(np.int64), lo - base, hi - base, whole.astype(np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["d1", "d2", "key", "lo", "hi", "whole"])
+                yield _entry_batch(d1[first + text], d2[first + text], key, lo - base, hi - base, at - base, whole)
 
-    return docs.select("d1", "d2", "text").mapInArrow(run, "d1 bigint, d2 bigint, key bigint, lo bigint, hi bigint, whole bigint")
+    return docs.select("d1", "d2", "text").mapInArrow(run, _ENTRY)
 
 
 class Levels:
@@ -178,34 +189,59 @@ def _of(docs: DataFrame, lists: DataFrame) -> DataFrame:
     return docs.join(lists, ["d1", "d2"])
 
 
-def _window_hashes(docs: DataFrame, length: int) -> DataFrame:
-    """(hash, d1, d2, at) of the windows in ``runs`` of each of ``docs``."""
+def _split(docs: DataFrame, length: int, width: int) -> DataFrame:
+    """Entries of parts of the ``runs`` of ``docs``, each of up to ``width`` windows by distance to their anchor.
+
+    A part's key is what all its windows have in common, so that equal windows lie in parts of equal keys.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for d1, d2, t, runs in zip(*(batch.column(c).to_pylist() for c in ("d1", "d2", "text", "runs"))):
                 spans = Spans(np.frombuffer((t or "").encode("utf-8", "surrogatepass"), np.uint8))
-                for lo in range(0, len(runs), 4096):
-                    at = np.concatenate([np.arange(r["lo"], r["hi"] + 1) for r in runs[lo : lo + 4096]])
-                    h = spans.hash(at, at + length).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(at), d1)), pa.array(np.full(len(at), d2)), pa.array(at)], names=["hash", "d1", "d2", "at"])
-
-    return docs.select("d1", "d2", "text", "runs").mapInArrow(run, "hash bigint, d1 bigint, d2 bigint, at bigint")
+                lo, hi, at = (np.array([r[c] for r in runs], np.int64) for c in ("lo", "hi", "at"))
+                for a in range(0, len(runs), 4096):
+                    l, h, c = lo[a : a + 4096], hi[a : a + 4096], at[a : a + 4096]
+                    least, most = (c - h) // width, (c - l) // width
+                    n = most - least + 1
+                    own = np.repeat(np.arange(len(n)), n)
+                    j = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + least[own]
+                    place = c[own] - j * width
+                    first, last = np.maximum(l[own], place - width + 1), np.minimum(h[own], place)
+                    key = _mix(spans.hash(place, place - width + 1 + length) + _mix(j.astype(np.uint64)))
+                    shape = (last - first).astype(np.uint64) << np.uint64(32) | (place - first).astype(np.uint64)
+                    whole = _mix(spans.hash(first, last + length) + _mix(shape))
+                    yield _entry_batch(np.full(len(own), d1), np.full(len(own), d2), key, first, last, c[own], whole)
+
+    return docs.select("d1", "d2", "text", "runs").mapInArrow(run, _ENTRY)
+
+
+def _judge(rows: DataFrame) -> DataFrame:
+    """``rows`` with twice (their whole coverage occurs again: all their windows do) and look (some other row
+    of their key may share windows: this one is alone, or stands for the rows of its coverage)."""
+    place = F.struct("d1", "d2", "lo")
+    wholes = rows.groupBy("key", "whole").agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    kinds = wholes.groupBy("key").agg(F.count("*").alias("kinds"))
+    judged = rows.join(wholes.join(kinds, "key"), ["key", "whole"])
+    return judged.select("d1", "d2", "lo", "hi", "at", (F.col("n") > 1).alias("twice"), ((F.col("kinds") > 1) & (F.col("first") == place)).alias("look"))
 
 
 def repeated_windows(docs: DataFrame, length: int, batches: int) -> DataFrame:
     """(d1, d2, runs): for each document with any, the runs (lo, hi) of starts of windows that start elsewhere too."""
     table = stage(entries(docs, length), "entries")
-    some = stage(table.join(matched_keys(table, batches), "key", "left_semi"), "matched")
-    place = F.struct("d1", "d2", "lo")
-    groups = some.groupBy("whole").agg(F.count("*").alias("n"), F.min(place).alias("first"))
-    judged = stage(some.join(groups, "whole").select("d1", "d2", "lo", "hi", "n", (F.col("first") == place).alias("probe")), "judged")
-    listed = F.collect_list(F.struct("lo", "hi")).alias("runs")
-    probes = stage(judged.filter("probe").distinct().groupBy("d1", "d2").agg(listed), "probes")
-    windows = stage(_window_hashes(_of(docs, probes), length), "windows")
-    twice = windows.groupBy("hash").count().filter("count > 1")
-    again = windows.join(twice, "hash", "left_semi").select("d1", "d2", F.col("at").alias("lo"), F.col("at").alias("hi"))
-    return stage(judged.filter("n > 1").select("d1", "d2", "lo", "hi").unionByName(again).groupBy("d1", "d2").agg(listed), "runs")
+    rows = table.join(matched_keys(table, batches), "key", "left_semi")
+    found = None
+    for width in WIDTHS:
+        judged = stage(_judge(rows), f"judged{width}")
+        sure = judged.filter("twice").select("d1", "d2", "lo", "hi")
+        found = sure if found is None else found.unionByName(sure)
+        open_runs = judged.filter("look").select("d1", "d2", "lo", "hi", "at").distinct()
+        probes = stage(open_runs.groupBy("d1", "d2").agg(F.collect_list(F.struct("lo", "hi", "at")).alias("runs")), "probes")
+        rows = stage(_split(_of(docs, probes), length, width), f"split{width}")
+        if width > 1:
+            rows = rows.join(rows.groupBy("key").count().filter("count > 1"), "key", "left_semi")
+    again = rows.join(rows.groupBy("key").count().filter("count > 1"), "key", "left_semi").select("d1", "d2", "lo", "hi")
+    return stage(found.unionByName(again).distinct().groupBy("d1", "d2").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")), "runs")
 
 
 def covered(n: int, runs: list[dict], length: int) -> np.ndarray:
