@@ -160,7 +160,8 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text") -> Da
     """
     docs = docs.drop("expected_grade", "tails")
     weights, thresholds = model.weights.astype(np.float32), model.thresholds
-    at = docs.columns.index(text_col)
+    columns = docs.columns
+    at = columns.index(text_col)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +183,7 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text") -> Da
                 whole = classes(text, words, len(forms))
                 scores.append(total + 4.0 * other / max(1, len(forms)) + float(weights[whole].sum()))
             tails = Model(weights, thresholds).tails(np.array(scores, float))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tails.sum(axis=1)), pa.array(list(tails), pa.list_(pa.float64()))], names=[*docs.columns, "expected_grade", "tails"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tails.sum(axis=1)), pa.array(list(tails), pa.list_(pa.float64()))], names=[*columns, "expected_grade", "tails"])
 
     return docs.mapInArrow(lambda it: run(b for b in it if b.num_rows), f"{fields}, expected_grade double, tails array<double>")
 
