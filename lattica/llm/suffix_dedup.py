@@ -29,7 +29,7 @@ from lattica.llm.common import stage
 
 ANCHOR = 32
 #: Bytes of text per vectorised step (one longer text is a step of its own), and rows of a list that may be broadcast.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 BROADCAST_ROWS = 500_000
 #: Windows that the parts of unresolved runs have, step by step; the last are single windows.
 WIDTHS = (16, 1)
