@@ -22,7 +22,8 @@ from lattica.llm.common import partitions, stage
 PRIME = (1 << 31) - 1
 BASES = (1_000_003, 1_664_525)
 SPAN, SLOTS = 16, 64
-_EMPTY = 0xFFFFFFFF
+_EMPTY = 0xFFFF
+_ALL = np.uint64(0xFFFFFFFF)
 _P = np.uint64(PRIME)
 
 
@@ -91,33 +92,55 @@ class Prefix:
             least, most = (middle, most) if self.equal(start, other, at, middle) else (least, middle - 1)
         return least
 
-    def sketch(self) -> np.ndarray:
-        """For each class of span hashes the smallest one's upper half, _EMPTY where there is none."""
-        out = np.full(SLOTS, _EMPTY, np.uint64)
+    def spans(self) -> np.ndarray:
+        """Mixed hashes of all spans of SPAN code points, in order; of the whole text if it is shorter."""
         if not self.n:
-            return out
+            return np.zeros(0, np.uint64)
         span = min(SPAN, self.n)
-        at = np.arange(self.n - span + 1)
-        h = self.hash(at, at + span)
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-        h ^= h >> np.uint64(29)
-        key = np.sort((h & np.uint64(SLOTS - 1)) << np.uint64(32) | np.minimum(h >> np.uint64(32), np.uint64(_EMPTY - 1)))
+        m = self.n - span + 1
+        a, b = (_mod(_mod(s[span:] + _P - s[:m]) * down[:m]) for s, down in zip(self.sums, _POWERS.down))
+        return _mixed(a << np.uint64(31) | b)
+
+    def joined(self, own: int, other: Prefix, theirs: int) -> np.ndarray:
+        """The hash of this text's first ``own`` code points followed by the other's first ``theirs``."""
+        _POWERS.grow(own + 1)
+        out = []
+        for mine, their, up in zip(self.sums, other.sums, _POWERS.up):
+            out.append(_mod(mine[own : own + 1] + _mod(their[theirs : theirs + 1] * up[own : own + 1])))
+        return out[0] << np.uint64(31) | out[1]
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(29))
+
+
+def sketch(spans: np.ndarray) -> np.ndarray:
+    """For each class of span hashes the last 16 bits of the smallest one, _EMPTY where there is none."""
+    out = np.full(SLOTS, _EMPTY, np.uint64)
+    few = spans[spans >> np.uint64(32) < np.uint64(min(1 << 32, (12 * SLOTS << 32) // max(1, len(spans))))]  # the least of each class, nearly always
+    for some in (few, spans):
+        slot = some & np.uint64(SLOTS - 1)
+        key = np.sort(slot << np.uint64(32) | some >> np.uint64(32))
         slot = (key >> np.uint64(32)).astype(np.int64)
-        first = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
-        out[slot[first]] = key[first] & np.uint64(0xFFFFFFFF)
-        return out
+        first = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]]) if len(slot) else np.zeros(0, int)
+        out[slot[first]] = np.minimum(key[first] & np.uint64(0xFFFF), np.uint64(_EMPTY - 1))
+        if len(first) == SLOTS:
+            break
+    return out
 
-    def fingerprint(self) -> str:
-        """Hex: the whole text's hash (16 digits), its length (16), and the sketch (8 for each slot)."""
-        return f"{int(self.hash(0, self.n)[0]):016x}{self.n:016x}" + self.sketch().astype(">u4").tobytes().hex()
+
+def fingerprint(whole: np.ndarray, n: int, spans: np.ndarray) -> str:
+    """Hex: the whole text's hash (16 digits), its length (16), and the sketch (4 for each slot)."""
+    return f"{int(whole[0]):016x}{n:016x}" + sketch(spans).astype(">u2").tobytes().hex()
 
 
 def likeness(a: str, b: str) -> float:
     """The estimated share of spans two fingerprinted texts have in common (Dice), 0 to 1; 1 for equal texts."""
     if a == b:
         return 1.0
-    x, y = (np.frombuffer(bytes.fromhex(f[32:]), ">u4") for f in (a, b))
+    x, y = (np.frombuffer(bytes.fromhex(f[32:]), ">u2") for f in (a, b))
     used = (x != _EMPTY) | (y != _EMPTY)
     if not used.any():
         return 0.0
@@ -134,11 +157,28 @@ def edited(text: str, following: str) -> str:
 _FIELDS = "n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_edited bigint, common_next bigint"
 
 
-def _compare(text: str, own: Prefix, mark: str, following: str, then: Prefix, then_mark: str) -> tuple:
-    changed = edited(text, following)
-    new = Prefix(changed)
-    new_mark = new.fingerprint()
-    return (own.n, hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), mark, new_mark, likeness(mark, new_mark), likeness(mark, then_mark), own.extension(0, new, 0), own.extension(0, then, 0))
+class _Read:
+    """A text with its prefix arrays, span hashes and fingerprint."""
+
+    def __init__(self, text: str):
+        self.text, self.prefix = text, Prefix(text)
+        self.spans = self.prefix.spans()
+        self.mark = fingerprint(self.prefix.hash(0, self.prefix.n), self.prefix.n, self.spans)
+
+
+def _compare(own: _Read, then: _Read) -> tuple:
+    """What is returned for a text and the next: the edited text's hashes come from the arrays of the two."""
+    changed = edited(own.text, then.text)
+    n, half = own.prefix.n, own.prefix.n // 2
+    kept, taken = n - half, min(half, then.prefix.n)
+    whole = own.prefix.joined(kept, then.prefix, taken)
+    if kept < SPAN or taken < SPAN:
+        spans = Prefix(changed).spans()
+    else:  # spans inside either part, and those across the seam
+        spans = np.concatenate([own.spans[: kept - SPAN + 1], then.spans[: taken - SPAN + 1], Prefix(changed[kept - SPAN + 1 : kept + SPAN - 1]).spans()])
+    mark = fingerprint(whole, kept + taken, spans)
+    same = kept + min(own.prefix.extension(kept, then.prefix, 0), taken)
+    return (n, hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), own.mark, mark, likeness(own.mark, mark), likeness(own.mark, then.mark), same, own.prefix.extension(0, then.prefix, 0))
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,26 +204,21 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
         for batch in batches:
             ids, rows, place = batch.column(0), [], []
             for k, t in enumerate(batch.column(1)):
-                text = t.as_py() or ""
-                own = Prefix(text)
-                now = (ids.slice(k, 1), text, own, own.fingerprint())
+                now = (ids.slice(k, 1), _Read(t.as_py() or ""))
                 if before is None:
-                    place.append(now[0]), rows.append((*[None] * 8, part, "first", text))
+                    place.append(now[0]), rows.append((*[None] * 8, part, "first", now[1].text))
                 else:
-                    place.append(before[0]), rows.append((*_compare(before[1], before[2], before[3], text, own, now[3]), part, None, None))
+                    place.append(before[0]), rows.append((*_compare(before[1], now[1]), part, None, None))
                 before = now
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.concat_arrays(place), *(pa.array(c, k) for c, k in zip(zip(*rows), own_kinds))], names=[*names, "part", "edge", "text"])
         if before is not None:
-            row = (*[None] * 8, part, "last", before[1])
+            row = (*[None] * 8, part, "last", before[1].text)
             yield pa.RecordBatch.from_arrays([before[0], *(pa.array([c], k) for c, k in zip(row, own_kinds))], names=[*names, "part", "edge", "text"])
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                own, then = Prefix(a), Prefix(b)
-                rows.append(_compare(a, own, own.fingerprint(), b, then, then.fingerprint()))
+            rows = [_compare(_Read(a), _Read(b)) for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             if rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows), own_kinds))], names=names)
 
