@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.text import slug
+from lattica.sources.shared import checkpointed
 
 
 def merge_entities(mentions: DataFrame, base: DataFrame | None = None) -> DataFrame:
@@ -125,12 +126,12 @@ def member_hashes(entities: DataFrame, relationships: DataFrame) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(id, component): least node reachable over ``edges`` (src, dst), by label propagation with jumps."""
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    labels = both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("component")).withColumnRenamed("src", "id").checkpoint()
+    labels = checkpointed(both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("component")).withColumnRenamed("src", "id"))
     for _ in range(rounds):
         near = both.join(labels.select(F.col("id").alias("dst"), "component"), "dst").groupBy("src").agg(F.min("component").alias("near"))
         step = labels.join(near, labels["id"] == near["src"]).select("id", F.least("component", "near").alias("component"), "near")
         jump = step.join(step.select(F.col("id").alias("component"), F.col("component").alias("far")), "component")
-        now = jump.select("id", F.least("component", "far").alias("component")).checkpoint()
+        now = checkpointed(jump.select("id", F.least("component", "far").alias("component")))
         if now.join(labels, ["id", "component"], "left_anti").isEmpty():
             return now
         labels = now
