@@ -24,9 +24,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lattica.llm.suffix_dedup import Spans
+
 #: Code points per vectorised batch, cached slices per worker, and bytes from which a slice is merged with a heap.
 BATCH_CHARS = 1 << 20
-CACHE_SLICES = 500_000
+CACHE_SLICES = 2_000_000
 LONG_SLICE = 48
 
 # Unicode's White_Space.
@@ -118,21 +120,26 @@ def states_before(syms: np.ndarray, steps: int = 256) -> np.ndarray:
     return out.T.ravel()[:n]
 
 
-def slices(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Pre-tokens of non-empty ``texts``, how many each text has, and each one's byte offset in its text."""
-    joined = "".join(texts)
+def boundaries(joined: str, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte offsets at which pre-tokens start, with the end, and how many there are before each of ``starts``.
+
+    ``joined``: texts one after another, none empty; ``starts``: where they start, in code points.
+    """
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    starts = np.cumsum(lengths) - lengths
     syms = symbols(points, starts)
     at = np.flatnonzero(_CUT.ravel()[(syms.astype(np.intp) << 3) | states_before(syms)])
     size = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
     place = np.concatenate([[0], np.cumsum(size)])
-    cuts = place[np.append(at, len(points))]
-    data, bounds = joined.encode("utf-8", "surrogatepass"), cuts.tolist()
-    first = np.searchsorted(at, starts)
-    counts = np.diff(np.append(first, len(at)))
-    return [data[a:b] for a, b in zip(bounds, bounds[1:])], counts, cuts[:-1] - np.repeat(place[starts], counts)
+    return place[np.append(at, len(points))], np.searchsorted(at, starts)
+
+
+def slices(text: str) -> list[bytes]:
+    """The pre-tokens of one text."""
+    if not text:
+        return []
+    cuts = boundaries(text, np.zeros(1, np.int64))[0].tolist()
+    data = text.encode("utf-8", "surrogatepass")
+    return [data[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 class Merger:
@@ -250,13 +257,21 @@ def merger(path: str) -> Merger:
 
 
 class Cached:
-    """Encodes texts; ``encode(words)`` gives a value for each slice that the cache lacks."""
+    """Encodes texts; ``encode(words)`` gives the ids of each of the slices that the cache lacks.
+
+    The cache is a few flat arrays: sorted 64-bit hashes of slices, where their ids start, and how many.
+    """
 
     def __init__(self, encode):
-        self.encode, self.cache = encode, {}
+        self.encode = encode
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys, self.start, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
 
-    def values(self, texts: list[str]) -> Iterator[tuple[list, np.ndarray]]:
-        """For each of ``texts`` the values of its slices and their byte offsets, in order."""
+    def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """For each of ``texts`` its ids, unsigned 32-bit."""
         group: list[str] = []
         held = 0
         for t in texts:
@@ -267,31 +282,58 @@ class Cached:
                 group, held = [], 0
         yield from self._group(group)
 
-    def _group(self, group: list[str]) -> Iterator[tuple[list, np.ndarray]]:
+    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.keys, hashes)
+        at[at == len(self.keys)] = 0
+        return at, self.keys[at] == hashes if len(self.keys) else np.zeros(len(hashes), bool)
+
+    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        found = self.encode(words)
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        need = self.used + int(size.sum())
+        if need > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(2 * need - self.used, np.uint32)])
+        self.flat[self.used : need] = np.concatenate(found)
+        start = self.used + np.cumsum(size) - size
+        self.used = need
+        keys = np.concatenate([self.keys, hashes])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.start, self.size = keys[order], np.concatenate([self.start, start])[order], np.concatenate([self.size, size])[order]
+
+    def _group(self, group: list[str]) -> Iterator[np.ndarray]:
         full = [t for t in group if t]
-        words, counts, offsets = slices(full) if full else ([], np.zeros(0, int), np.zeros(0, int))
-        if len(self.cache) > CACHE_SLICES:
-            self.cache = {}
-        found = list(map(self.cache.get, words))
-        if None in found:
-            new = list({w for w, v in zip(words, found) if v is None})
-            self.cache.update(zip(new, self.encode(new)))
-            found = list(map(self.cache.get, words))
-        at, k = 0, iter(counts.tolist())
+        if not full:
+            yield from (np.zeros(0, np.uint32) for _ in group)
+            return
+        joined = "".join(full)
+        lengths = np.fromiter(map(len, full), np.int64, len(full))
+        cuts, first = boundaries(joined, np.cumsum(lengths) - lengths)
+        data = joined.encode("utf-8", "surrogatepass")
+        hashes, sample, which = np.unique(Spans(np.frombuffer(data, np.uint8)).hash(cuts[:-1], cuts[1:]), return_index=True, return_inverse=True)
+        if len(self.keys) > CACHE_SLICES:
+            self._clear()
+        at, known = self._find(hashes)
+        if not known.all():
+            new = sample[~known]
+            self._learn(hashes[~known], [data[a:b] for a, b in zip(cuts[new].tolist(), cuts[new + 1].tolist())])
+            at, known = self._find(hashes)
+        start, size = self.start[at][which], self.size[at][which]
+        upto = np.cumsum(size)
+        ids = self.flat[np.repeat(start - (upto - size), size) + np.arange(int(upto[-1]))]
+        edges = np.append(np.append(0, upto)[first], len(ids)).tolist()
+        parts = iter(zip(edges, edges[1:]))
         for t in group:
-            n = next(k) if t else 0
-            yield found[at : at + n], offsets[at : at + n]
-            at += n
+            a, b = next(parts) if t else (0, 0)
+            yield ids[a:b]
 
 
 _ENCODERS: dict = {}
 
 
 def rank_encoder(path: str) -> Cached:
-    """Values (ids as little-endian unsigned 32-bit, ids in decimal) by a file of ranks; kept in the worker."""
+    """Ids by a file of ranks; kept in the worker."""
     if path not in _ENCODERS:
-        m = merger(path)
-        _ENCODERS[path] = Cached(lambda words: [(i.astype("<u4").tobytes(), b" ".join(map(m.decimal.__getitem__, i.tolist()))) for i in m.merge(words)])
+        _ENCODERS[path] = Cached(merger(path).merge)
     return _ENCODERS[path]
 
 
@@ -314,8 +356,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, outputs: tuple[str, ...]
         encoder, m = rank_encoder(ranks_path), merger(ranks_path)
         for batch in batches:
             cols: dict[str, list] = {o: [] for o in outputs}
-            for values, offsets in encoder.values([t or "" for t in batch.column(1).to_pylist()]):
-                ids = np.frombuffer(b"".join([v[0] for v in values]), "<u4")
+            for ids in encoder.ids([t or "" for t in batch.column(1).to_pylist()]):
                 if "ids" in cols:
                     cols["ids"].append(ids.astype(np.int32))
                 if "offsets" in cols:
@@ -324,7 +365,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, outputs: tuple[str, ...]
                 if "n_tokens" in cols:
                     cols["n_tokens"].append(len(ids))
                 if "ids_sha256" in cols:
-                    cols["ids_sha256"].append(hashlib.sha256(b" ".join([v[1] for v in values])).hexdigest())
+                    cols["ids_sha256"].append(hashlib.sha256(b" ".join(map(m.decimal.__getitem__, ids.tolist()))).hexdigest())
                 if "decoded" in cols or "decoded_sha256" in cols:
                     data = m.decode(ids)
                     if "decoded" in cols:

@@ -122,7 +122,7 @@ _TOKENIZERS: dict = {}
 
 
 def id_encoder(path: str) -> Cached:
-    """Ids (as little-endian unsigned 32-bit) of slices by a tokenizers file; kept in the worker.
+    """Ids by a tokenizers file; kept in the worker.
 
     Byte-level tokenizers encode each pre-token on its own, so a text's ids are those of its slices.
     """
@@ -133,11 +133,10 @@ def id_encoder(path: str) -> Cached:
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
 
-        def encode(words: list[bytes]) -> list[bytes]:
+        def encode(words: list[bytes]) -> list[np.ndarray]:
             e = t.encode([w.decode("utf-8") for w in words], is_pretokenized=True, add_special_tokens=False)
-            data = np.array(e.ids, "<u4").tobytes()
-            cuts = (4 * np.searchsorted(np.array(e.word_ids), np.arange(len(words) + 1))).tolist()
-            return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+            ids = np.array(e.ids, np.uint32)
+            return np.split(ids, np.searchsorted(np.array(e.word_ids), np.arange(1, len(words))))
 
         _TOKENIZERS[path] = Cached(encode)
     return _TOKENIZERS[path]
@@ -153,8 +152,8 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, window: int, end_id: int
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows, ids_of = [], []
-            for k, (values, _) in enumerate(encoder.values([t or "" for t in batch.column(1).to_pylist()])):
-                data = b"".join(values) + end
+            for k, found in enumerate(encoder.ids([t or "" for t in batch.column(1).to_pylist()])):
+                data = found.astype("<u4").tobytes() + end
                 n = len(data) // 4
                 for start in range(0, n, window):
                     piece = data[4 * start : 4 * (start + window)]
