@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Questions whose vectors one pass over the base holds.
 BLOCK = 2048
@@ -43,6 +44,7 @@ def cosine_topk(questions: DataFrame, base: DataFrame, k: int, descending_ids: b
     held, block, size, parts = [], [], 0, []
     kind = base.schema["id"].dataType.simpleString()
     qkind = questions.schema["question_id"].dataType.simpleString()
+    qtype, itype = (to_arrow_type(df.schema[c].dataType) for df, c in ((questions, "question_id"), (base, "id")))
     schema = f"question_id {qkind}, id {kind}, score double"
 
     def one_pass(ids: list, vectors: np.ndarray) -> DataFrame:
@@ -72,7 +74,8 @@ def cosine_topk(questions: DataFrame, base: DataFrame, k: int, descending_ids: b
                             best[q] = sorted(best[q], key=lambda r: (-r[0], r[1]))[:k]
             rows = [(names[q].item(), r[2], r[0]) for q, found in best.items() for r in sorted(found, key=lambda r: (-r[0], r[1]))[:k] if r[0] == r[0]]
             if rows:
-                yield pa.RecordBatch.from_pylist([dict(zip(("question_id", "id", "score"), r)) for r in rows])
+                q, i, score = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(q, qtype), pa.array(i, itype), pa.array(score, pa.float64())], names=["question_id", "id", "score"])
 
         return usable.mapInArrow(run, schema)
 
