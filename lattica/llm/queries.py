@@ -76,16 +76,24 @@ QUERIES = {f.__name__: f for f in (op1_quotation_linking, op2_pitman_yor, op3_pa
 
 ORACLE_SQL = {
     "op4_sharding": """
-        WITH s AS (
+        WITH tab AS (
+          SELECT list(c ORDER BY n) AS t FROM (
+            SELECT n, list_reduce(list_prepend(n, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+              lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END) AS c
+            FROM (SELECT unnest(range(256)) AS n))),
+        s AS (
           SELECT doc_id, coalesce(strlen(text), 0) + 1 AS size, coalesce(text, '') AS t,
                  sum(coalesce(strlen(text), 0) + 1) OVER (ORDER BY doc_id) AS upto,
                  sum(coalesce(strlen(text), 0) + 1) OVER () AS total,
                  row_number() OVER (ORDER BY doc_id) AS n
           FROM documents),
         c AS (SELECT *, least(CAST(floor((2 * upto - size) * 16 / CAST(2 * total AS DOUBLE)) AS INTEGER), 15) AS shard FROM s)
-        SELECT doc_id, CAST(size AS BIGINT) AS size, 'bytes' AS law, shard,
-               CAST(n - min(n) OVER (PARTITION BY shard) AS BIGINT) AS slot
-        FROM c""",
+        SELECT doc_id, CAST(size AS BIGINT) AS size,
+               xor(4294967295::BIGINT, list_reduce(
+                 list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(c.t)), '..'), lambda h: CAST('0x' || h AS BIGINT))),
+                 lambda acc, b: xor(tab.t[(xor(acc, b) & 255) + 1], acc >> 8))) AS text_crc32,
+               'bytes' AS law, shard, CAST(n - min(n) OVER (PARTITION BY shard) AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+        FROM c, tab""",
     "op8_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
