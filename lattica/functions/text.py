@@ -25,8 +25,8 @@ def token_estimate(text: Column) -> Column:
 
 def identifiers(text: Column) -> Column:
     """Distinct identifiers in order: words with an underscore, or a lower-case letter before an upper-case one."""
-    words = F.regexp_extract_all(text, F.lit(r"\b([A-Za-z_][A-Za-z0-9_]*)\b"), 1)
-    return F.array_distinct(F.filter(words, lambda w: w.contains("_") | w.rlike("[a-z][A-Z]")))
+    words = F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}_]+)"), 1)
+    return F.array_distinct(F.filter(words, lambda w: w.rlike("^[A-Za-z_][A-Za-z0-9_]*$") & (w.contains("_") | w.rlike("[a-z][A-Z]"))))
 
 
 def heuristic_route(question: Column) -> Column:

@@ -209,12 +209,11 @@ def def_name_lookup(spark, d):
 
 
 @query(r"""WITH x AS (SELECT doc_id, replace(text, ' ', '_') AS t FROM documents),
-w AS (SELECT doc_id, unnest(regexp_extract_all(t, '\b[A-Za-z_][A-Za-z0-9_]*\b')) AS i FROM x WHERE regexp_full_match(t, '[\x00-\x7F]*'))
-SELECT doc_id, count(DISTINCT i) AS n FROM w WHERE contains(i, '_') OR regexp_matches(i, '[a-z][A-Z]') GROUP BY 1""")
+w AS (SELECT doc_id, unnest(regexp_extract_all(t, '[\p{L}\p{N}_]+')) AS i FROM x)
+SELECT doc_id, count(DISTINCT i) AS n FROM w WHERE regexp_full_match(i, '[A-Za-z_][A-Za-z0-9_]*') AND (contains(i, '_') OR regexp_matches(i, '[a-z][A-Z]')) GROUP BY 1""")
 def identifier_extract(spark, d):
-    docs = read(spark, d, "documents").filter(r"text rlike '^[\\x00-\\x7F]*$'")
-    found = docs.select("doc_id", F.size(tx.identifiers(F.translate("text", " ", "_"))).cast("long").alias("n"))
-    return found.filter("n > 0")
+    docs = read(spark, d, "documents")
+    return docs.select("doc_id", F.size(tx.identifiers(F.translate("text", " ", "_"))).cast("long").alias("n")).filter("n > 0")
 
 
 @query(r"""WITH q AS (SELECT CAST(conv_id AS VARCHAR) || '/' || turn AS id, text FROM conversations UNION ALL SELECT 'b' || item_id, text FROM benchmark
@@ -323,9 +322,12 @@ def extraction_relationships(spark, d):
 _NAMES = "('the'), ('Here'), ('thing'), ('of'), ('und'), ('que')"
 
 
-@query(f"""SELECT doc_id AS chunk_id, lower(n) AS entity_id FROM documents JOIN (VALUES {_NAMES}) v(n) ON length(n) >= 3 AND regexp_matches(text, '(?i)\\b' || n || '\\b') WHERE regexp_full_match(text, '[\\x00-\\x7F]*')""".replace("\\\\", "\\"))
+_EDGE = r"[^\p{L}\p{N}_]"
+
+
+@query(rf"""SELECT doc_id AS chunk_id, lower(n) AS entity_id FROM documents JOIN (VALUES {_NAMES}) v(n) ON length(n) >= 3 AND regexp_matches(text, '(?i)(^|{_EDGE})' || n || '({_EDGE}|$)')""")
 def entity_chunk_linking(spark, d):
-    docs = read(spark, d, "documents").filter(r"text rlike '^[\\x00-\\x7F]*$'").select(F.col("doc_id").alias("chunk_id"), F.lit("all").alias("filepath"), "text")
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.lit("all").alias("filepath"), "text")
     names = spark.createDataFrame([(n,) for n in ("the", "Here", "thing", "of", "und", "que")], "name string")
     return extraction.link_chunks(docs, F.broadcast(names.select(F.lit("all").alias("filepath"), F.lower("name").alias("id"), "name")))
 
@@ -359,11 +361,11 @@ def markdown_sections(spark, d):
 
 @query()
 def louvain_communities(spark, d):
-    edges = graph.undirected(graph.simple_graph(_relationships(spark, d).filter("source_doc <> 'lineitem'")))
-    return community.louvain(edges)
+    return community.louvain(graph.undirected(graph.simple_graph(_relationships(spark, d))))
 
 
-@query()
+@query(ORACLE_SQL["member_hash"].replace("SELECT l.community, sha256(", """, m AS (SELECT community, count(*) AS n, list(name ORDER BY id)[1:10] AS names FROM e WHERE community IS NOT NULL GROUP BY 1)
+SELECT l.community AS id, m.n || ' entities: ' || array_to_string(m.names, ', ') AS summary, 'summarised' AS status, sha256(""").replace("USING (community)", "USING (community) JOIN m ON m.community = l.community"))
 def community_summaries(spark, d):
     known = spark.createDataFrame([], "id int, member_hash string, summary string")
     return community.refresh_summaries(star.entities(spark, d), _relationships(spark, d), known, community.extractive_summary)
@@ -372,7 +374,11 @@ def community_summaries(spark, d):
 _DAY = 86_400_000_000
 
 
-@query()
+@query(f"""WITH RECURSIVE q AS (SELECT user_id AS key, epoch_us(ts) AS t, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS n FROM events),
+s AS (SELECT key, t, id, n, true AS accepted, [t] AS kept FROM q WHERE n = 1
+  UNION ALL SELECT key, t, id, n, len(live) < 3, CASE WHEN len(live) < 3 THEN list_append(live, t) ELSE live END
+  FROM (SELECT q.*, list_filter(s.kept, lambda x: q.t - x < {_DAY}) AS live FROM s JOIN q ON q.key = s.key AND q.n = s.n + 1))
+SELECT key, t AS "at", id, accepted FROM s""")
 def rate_limit_sliding_window(spark, d):
     e = read(spark, d, "events")
     requests = e.select(F.col("user_id").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("id"))
