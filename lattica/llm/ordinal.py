@@ -95,16 +95,18 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int, rounds: int
     if not rows:
         return Model(weights, np.full(grades - 1, -20.0) + np.arange(grades - 1))
     grade = np.array([r[0] for r in rows])
-    owner = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
-    slots, values = np.concatenate([r[1] for r in rows]), np.concatenate([r[2] for r in rows]).astype(float)
-    once = np.unique(owner.astype(np.int64) << BITS | slots)  # each slot of a row once
-    rows_of, slot_of = once >> BITS, once & (size - 1)
-    seen = np.bincount(slot_of, minlength=size)
-    used = seen >= least
+    seen, sums = np.zeros(size, np.int64), np.zeros(size)
+    for g, slots, _ in rows:  # row by row: all slots at once would take many times the rows' own memory
+        once = np.unique(slots)
+        seen[once] += 1
+        sums[once] += g
     error = grade.std() / np.sqrt(np.maximum(seen, 1))
-    used &= np.abs(np.bincount(slot_of, grade[rows_of], size) / np.maximum(seen, 1) - grade.mean()) > screen * error
-    own = used[slots]
-    owner, slots, values = owner[own], slots[own], values[own]
+    used = (seen >= least) & (np.abs(sums / np.maximum(seen, 1) - grade.mean()) > screen * error)
+    kept = [used[r[1]] for r in rows]
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [int(k.sum()) for k in kept])
+    slots = np.concatenate([r[1][k] for r, k in zip(rows, kept)])
+    values = np.concatenate([r[2][k] for r, k in zip(rows, kept)]).astype(float)
+    del kept
     names, slots = np.unique(slots, return_inverse=True)
     state = np.zeros(len(names) + grades - 1)
     state[len(names)], state[len(names) + 1 :] = cuts[0], 0.0  # first threshold, then logarithms of the gaps
@@ -149,8 +151,9 @@ def train(docs: DataFrame, grades: DataFrame, levels: int, sample_rows: int = SA
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), batch.column(2), pa.array([s.tobytes() for s, _ in made], pa.binary()), pa.array([v.tobytes() for _, v in made], pa.binary())], names=["grade", "h", "slots", "values"])
 
     made = texts.mapInArrow(run, "grade int, h bigint, slots binary, values binary").collect()  # sample_rows rows, or few more where ids repeat
-    made.sort(key=lambda r: (r["h"], r["grade"], r["slots"]))
-    return fit([(r["grade"], np.frombuffer(r["slots"], np.int32), np.frombuffer(r["values"], np.float32)) for r in made], levels)
+    made = [(r["h"], r["grade"], bytes(r["slots"]), bytes(r["values"])) for r in made]
+    made.sort(key=lambda r: r[:3])
+    return fit([(g, np.frombuffer(slots, np.int32), np.frombuffer(values, np.float32)) for _, g, slots, values in made], levels)
 
 
 def score_documents(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
