@@ -183,7 +183,7 @@ ent AS (SELECT question_id, e.id, e.name AS label, min(s) AS s FROM sd JOIN n ON
 rel AS (SELECT question_id, source_id, target_id, r.label, min(s) AS s FROM sd JOIN n x ON x.seed = sd.entity_id JOIN r ON r.source_id = x.id JOIN n y ON y.seed = x.seed AND y.id = r.target_id GROUP BY ALL)
 SELECT question_id, 'entity' AS kind, CAST(row_number() OVER (PARTITION BY question_id ORDER BY s, id) AS INTEGER) AS rank, id || ' ' || label AS item FROM ent QUALIFY rank <= 20
 UNION ALL SELECT question_id, 'relationship', CAST(row_number() OVER (PARTITION BY question_id ORDER BY s, source_id, target_id, label) AS INTEGER) AS rank, source_id || ' ' || label || ' ' || target_id FROM rel QUALIFY rank <= 40
-UNION ALL SELECT question_id, 'text', CAST(rank AS INTEGER), text FROM hit JOIN documents ON doc_id = id"""
+UNION ALL SELECT question_id, 'text', CAST(row_number() OVER (PARTITION BY question_id ORDER BY rank) AS INTEGER), text FROM hit JOIN documents ON doc_id = id WHERE text IS NOT NULL"""
 
 
 @query(_LOCAL)
