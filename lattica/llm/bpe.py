@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from lattica.llm.suffix_dedup import Spans
 
 #: Code points per vectorised batch, cached slices per worker, and bytes from which a slice is merged with a heap.
-BATCH_CHARS = 1 << 20
-CACHE_SLICES = 2_000_000
+BATCH_CHARS = 1 << 18
+CACHE_SLICES = 1_000_000
 LONG_SLICE = 48
 
 # Unicode's White_Space.
