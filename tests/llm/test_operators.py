@@ -276,6 +276,30 @@ def test_near_dedup(spark, odd, empty):
     assert out.count() == len(ODD) and out.columns[:2] == ["doc_id", "text"] and near_dedup.near_dedup(empty).count() == 0
 
 
+def near_found(spark, texts):
+    """(groups that near_dedup finds, groups by brute force) of texts numbered in order."""
+    shared = {i: set(simhash.shingle_hashes(t, 5)) for i, t in enumerate(texts)}
+    want = reachable(list(shared), lambda a, b: len(shared[a] & shared[b]) >= 0.8 * len(shared[a] | shared[b]))
+    got = near_dedup.near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return {r.doc_id: r.group_id for r in got}, want
+
+
+def test_near_dedup_links_block_edits_and_added_paragraphs(spark):
+    rng = random.Random(21)
+    texts = []
+    for g in range(60):
+        w = words(rng, 204, 5000)
+        own = w.split()
+        if g % 2:  # 18 of 204 words: 178 of 222 shingles stay
+            at = rng.randrange(10, 170)
+            own[at : at + 18] = words(rng, 18, 5000).split()
+        else:  # 200 of 250 shingles
+            own += words(rng, 50, 5000).split()
+        texts += [w, " ".join(own)]
+    got, want = near_found(spark, texts)
+    assert len(set(want.values())) == 60 and got == want
+
+
 # --- 10
 
 def brute_removed(texts, length):
