@@ -300,6 +300,17 @@ def test_near_dedup_links_block_edits_and_added_paragraphs(spark):
     assert len(set(want.values())) == 60 and got == want
 
 
+@pytest.mark.parametrize("block", [near_dedup.__dict__.get("BLOCK_SHINGLES", 1 << 17), 3000])
+def test_near_dedup_links_all_under_crowded_keys(spark, monkeypatch, block):
+    """Texts of 12 of the same 16 paragraphs: nearly every shingle is in most texts."""
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", block, raising=False)
+    rng = random.Random(22)
+    parts = [words(rng, 20, 5000) for _ in range(16)]
+    texts = [" ".join(parts[k] for k in sorted(rng.sample(range(16), 12))) + f" end{i}" for i in range(70)]
+    got, want = near_found(spark, texts)
+    assert 1 < len(set(want.values())) < 70 and got == want
+
+
 # --- 10
 
 def brute_removed(texts, length):
