@@ -311,6 +311,16 @@ def test_near_dedup_links_all_under_crowded_keys(spark, monkeypatch, block):
     assert 1 < len(set(want.values())) < 70 and got == want
 
 
+def test_near_dedup_ignores_how_often_a_line_repeats(spark):
+    rng = random.Random(23)
+    texts = []
+    for _ in range(30):
+        body, line = words(rng, 200, 5000), words(rng, 8, 5000)
+        texts += [f"{body}\n{line}", body + f"\n{line}" * rng.choice([10, 50])]
+    got, want = near_found(spark, texts)
+    assert len(set(want.values())) == 30 and got == want
+
+
 # --- 10
 
 def brute_removed(texts, length):
