@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,7 @@ BROADCAST_ROWS = 500_000
 WIDTHS = (16, 1)
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
+_BLANK = np.frombuffer(b" \t\n\r\v\f", np.uint8)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -244,6 +246,27 @@ def repeated_windows(docs: DataFrame, length: int, batches: int) -> DataFrame:
     return stage(found.unionByName(again).distinct().groupBy("d1", "d2").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")), "runs")
 
 
+def short_windows(docs: DataFrame, words: int, length: int) -> DataFrame:
+    """(d1, d2, runs): for each document with any, strings of ``words`` words in under ``length`` bytes that
+    occur elsewhere too, as runs that cover them (of starts from lo up to hi, which can lie before lo)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t, d1, d2 in zip(*batch.columns):
+                data = t.as_py().encode("utf-8", "surrogatepass")
+                blank = np.concatenate([[True], np.isin(np.frombuffer(data, np.uint8), _BLANK), [True]])
+                start, stop = np.flatnonzero(blank[:-1] & ~blank[1:]), np.flatnonzero(~blank[:-1] & blank[1:])
+                n = max(0, len(start) - words + 1)
+                lo, end = start[:n], stop[words - 1 :][:n]
+                lo, end = lo[end - lo < length], end[end - lo < length]
+                keys = np.fromiter((xxhash.xxh64_intdigest(data[a:b]) for a, b in zip(lo.tolist(), end.tolist())), np.uint64, len(lo))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array([d1.as_py()] * len(lo), pa.int64()), pa.array([d2.as_py()] * len(lo), pa.int64()), pa.array(lo, pa.int64()), pa.array(end - length, pa.int64())], names=["key", "d1", "d2", "lo", "hi"])
+
+    rows = stage(docs.select("text", "d1", "d2").mapInArrow(run, "key bigint, d1 bigint, d2 bigint, lo bigint, hi bigint"), "short")
+    again = rows.join(rows.groupBy("key").count().filter("count > 1"), "key", "left_semi").select("d1", "d2", "lo", "hi")
+    return again.distinct().groupBy("d1", "d2").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+
+
 def covered(n: int, runs: list[dict], length: int) -> np.ndarray:
     """Which of ``n`` bytes lie in a window that starts in one of ``runs``."""
     edge = np.zeros(n + 1, np.int64)
@@ -252,13 +275,14 @@ def covered(n: int, runs: list[dict], length: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, batches: int = 4, text_col: str = "text", repair: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, batches: int = 4, text_col: str = "text", repair: bool = False, words: int = 0) -> DataFrame:
     """All rows and columns of ``docs`` with the text less its repeated bytes, and n_bytes, n_removed,
     n_spans and kept_sha256 (of the remaining bytes).
 
     A byte goes if a ``length``-byte string that covers it also starts anywhere else in the input, in the
-    same text or another; strings are judged on the input. Null texts count as empty and stay null; texts
-    shorter than ``length`` stay whole; a repeated row is a document of its own, so that both lose what
+    same text or another; strings are judged on the input. With ``words``, so do shorter strings of that many
+    words (what lies between spaces, tabs and line ends). Null texts count as empty and stay null; other
+    texts shorter than ``length`` stay whole; a repeated row is a document of its own, so that both lose what
     they share. A cut can split a character: the text column then has the replacement character, or with
     ``repair`` whole characters only; kept_sha256 is of the exact bytes. Input columns named like an added
     one are replaced.
@@ -270,6 +294,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, batches: int = 4, text_co
     id_hash: Column = F.xxhash64(*others) if others else F.lit(0).cast("long")
     keyed = docs.select(F.struct(*docs.columns).alias("row"), plain.alias("text"), F.xxhash64(plain, id_hash).alias("d1"), F.xxhash64(id_hash, F.lit(7), F.xxhash64(plain)).alias("d2"))
     runs = repeated_windows(keyed, length, batches)
+    if words:
+        both = runs.select("d1", "d2", "runs").unionByName(short_windows(keyed, words, length).withColumn("runs", F.col("runs").cast(runs.schema["runs"].dataType)))
+        runs = stage(both.groupBy("d1", "d2").agg(F.flatten(F.collect_list("runs")).alias("runs")), "runs")
     fields = f"text string, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
     row_type = keyed.schema["row"].dataType.simpleString()
 

@@ -40,6 +40,18 @@ def test_stages_in_turn(spark, tmp_path):
     assert kept["near"] == kept["repeats"] == kept["pack"]
 
 
+def test_repeats_cuts_passages_of_short_words(spark):
+    rng = random.Random(4)
+    short = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(1, 4))) for _ in range(n))
+    passage, less = short(51), short(50)
+    assert len(passage) < 256
+    texts = [f"{sentence(rng, 40)} {p} {sentence(rng, 40)}" for p in (passage, passage, less, less)] + [passage]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.repeats(spark, docs, SMALL).collect()}
+    assert all(passage not in got[i] and got[i] == texts[i].replace(passage, "") for i in (0, 1, 4))
+    assert got[2] == texts[2] and got[3] == texts[3]
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_against_sql(spark, oracle, name):
     got, want = queries.QUERIES[name](spark, SMALL).toPandas(), oracle.sql(queries.ORACLE_SQL[name]).df()
