@@ -396,6 +396,28 @@ def test_seating_keeps_its_customers():
         assert (np.bincount(s.row, s.size, 50) == count).all() and (np.bincount(s.row, minlength=50) == s.tables).all() and s.size.min() > 0
 
 
+def test_seating_moves_all_customers_of_large_rows():
+    """One word in one context, all else fixed by being seen once: its tables vary as their distribution says."""
+    c = pitman_yor.EXACT
+    seen = []
+    for count in (c, c + 1):  # drawn exactly, and on the grid
+        counts = np.r_[np.ones(4000, np.int64), count]
+        s = pitman_yor.Seating(np.zeros(4001, np.int64), np.arange(4001), counts, np.bincount([0], [counts.sum()], pitman_yor.CONTEXTS), 1.0, 3)
+        s.tables[-1] = 150
+        drawn = []
+        for _ in range(1200):
+            s.sweep()
+            drawn.append(s.tables[-1])
+        seen.append(np.log(drawn[20:]))
+    assert min(len(np.unique(x)) for x in seen) > 15 and abs(seen[0].mean() - seen[1].mean()) < 0.25
+
+
+def test_seatings_at_a_point():
+    c, t = pitman_yor.EXACT, np.array([1, 2, 3, 10, 50, 200, 400])
+    near = pitman_yor._stirling_at(np.full(len(t), float(c)), t.astype(float))
+    assert np.abs(near - pitman_yor._stirling()[c, t]).max() < 0.2
+
+
 def test_probabilities_add_up():
     """Over known words and the unknown one, the predictive probabilities of a context are one."""
     rng = np.random.default_rng(2)
