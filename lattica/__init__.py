@@ -3,21 +3,26 @@
 from __future__ import annotations
 
 import atexit
-import importlib.util
 import os
 import shutil
 import tempfile
 import zipfile
 
 _SHIPPED: set[str] = set()
+#: Bytes of a record batch that goes to a Python worker, where the session sets none: rows hold whole texts.
+BATCH_BYTES = "4m"
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark) -> None:
-    """Send this package's modules to the Python workers of ``spark``, once for each application.
+    """Send this package's modules to the Python workers of ``spark``, once for each application, and bound
+    the bytes of a record batch where the session does not.
 
     Worker-side functions are pickled by reference, so workers must be able to import the package even
     where it isn't installed on the executors.
     """
+    if spark.conf.get(_BATCH_KEY, None) is None:
+        spark.conf.set(_BATCH_KEY, BATCH_BYTES)
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
@@ -31,8 +36,5 @@ def ship(spark) -> None:
                 if name.endswith(".py"):
                     full = os.path.join(here, name)
                     z.write(full, os.path.join("lattica", os.path.relpath(full, top)))
-        spec = importlib.util.find_spec("corpus_pipeline")
-        if spec and spec.origin:
-            z.write(spec.origin, "corpus_pipeline.py")
     context.addPyFile(path)
     _SHIPPED.add(context.applicationId)

@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a checkpoint in spark.checkpoint.dir (a default where it is unset)."""
+    """``df`` with its lineage cut by a checkpoint in spark.checkpoint.dir; where that is unset, in a default
+    folder if there is one machine only."""
     spark: SparkSession = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        told = spark.conf.get("spark.checkpoint.dir", None)
+        if not told and context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(told or "/tmp/checkpoints")
     return df.checkpoint()

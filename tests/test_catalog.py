@@ -10,7 +10,7 @@ SMALL = "/root/testdata/sf0.001"
 def same(a, b):
     assert sorted(a.columns) == sorted(b.columns)
     cols = sorted(a.columns)
-    x, y = (f[cols].astype(str).sort_values(cols).reset_index(drop=True) for f in (a, b))
+    x, y = (f[cols].astype(object).where(f[cols].notna(), None).astype(str).sort_values(cols).reset_index(drop=True) for f in (a, b))  # nulls of all kinds alike
     assert x.equals(y)
 
 
