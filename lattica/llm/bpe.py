@@ -24,11 +24,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lattica.llm.common import spared
 from lattica.llm.suffix_dedup import Spans
 
 #: Code points per vectorised batch, cached slices per worker, and bytes from which a slice is merged with a heap.
 BATCH_CHARS = 1 << 18
-CACHE_SLICES = 1_000_000
+CACHE_SLICES = 400_000
 LONG_SLICE = 48
 
 # Unicode's White_Space.
@@ -375,4 +376,4 @@ def encode_documents(docs: DataFrame, ranks_path: str, outputs: tuple[str, ...]
             kinds = {"ids": pa.list_(pa.int32()), "offsets": pa.list_(pa.int64()), "n_tokens": pa.int64(), "decoded": pa.binary()}
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(cols[o], kinds.get(o, pa.string())) for o in outputs)], names=[id_col, *outputs])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(spared(run), schema)

@@ -1,9 +1,12 @@
-"""What the operators of this subpackage share: staged tables, tables of a run, and task sizes."""
+"""What the operators of this subpackage share: staged tables, tables of a run, task sizes and memory."""
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,20 +14,51 @@ DEFAULT_SHARED_DIR = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a default where it is unset (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SHARED_DIR).rstrip("/")
+    """The folder all executors share: spark.checkpoint.dir; where it is unset, a default if there is one machine only."""
+    told = spark.conf.get("spark.checkpoint.dir", None)
+    if not told and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (told or DEFAULT_SHARED_DIR).rstrip("/")
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Later jobs then read one fixed copy that survives the loss of any executor, and task-dependent
-    values such as partition numbers are computed once.
+    values such as partition numbers are computed once. ``unstage`` removes it when nothing reads it any more.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lattica/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Remove staged ``tables``; only what no later plan reads, lazily or on a retry, may be given."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spared(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` without batches of no rows, after which the worker's allocators give back what they hold free.
+
+    Workers serve one task after another, of all stages: what one leaves in them counts against the next.
+    """
+
+    def spare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(b for b in batches if b.num_rows)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+            if trim:
+                trim(0)
+
+    return spare
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

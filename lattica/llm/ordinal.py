@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.llm.common import spared
+
 #: Labelled rows that the model is fitted on at most: those whose hashed ids are least. The one bound on the input.
 SAMPLE_ROWS = 12_000
 BITS = 18
 #: Words whose features a worker remembers.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 _RUN = re.compile(r"(.)\1+")
 _KEPT = str.maketrans({**{chr(c): "a" for c in range(97, 123)}, **{chr(c): "A" for c in range(65, 91)}, **{str(d): "0" for d in range(10)}})
 
@@ -150,7 +152,7 @@ def train(docs: DataFrame, grades: DataFrame, levels: int, sample_rows: int = SA
             made = [features(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), batch.column(2), pa.array([s.tobytes() for s, _ in made], pa.binary()), pa.array([v.tobytes() for _, v in made], pa.binary())], names=["grade", "h", "slots", "values"])
 
-    made = texts.mapInArrow(run, "grade int, h bigint, slots binary, values binary").collect()  # sample_rows rows, or few more where ids repeat
+    made = texts.mapInArrow(spared(run), "grade int, h bigint, slots binary, values binary").collect()  # sample_rows rows, or few more where ids repeat
     made = [(r["h"], r["grade"], bytes(r["slots"]), bytes(r["values"])) for r in made]
     made.sort(key=lambda r: r[:3])
     return fit([(g, np.frombuffer(slots, np.int32), np.frombuffer(values, np.float32)) for _, g, slots, values in made], levels)
@@ -188,7 +190,7 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text") -> Da
             tails = Model(weights, thresholds).tails(np.array(scores, float))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tails.sum(axis=1)), pa.array(list(tails), pa.list_(pa.float64()))], names=[*columns, "expected_grade", "tails"])
 
-    return docs.mapInArrow(lambda it: run(b for b in it if b.num_rows), f"{fields}, expected_grade double, tails array<double>")
+    return docs.mapInArrow(spared(run), f"{fields}, expected_grade double, tails array<double>")
 
 
 def graded(labels: DataFrame) -> DataFrame:

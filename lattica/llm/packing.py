@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.llm.bpe import Cached
-from lattica.llm.common import stage
+from lattica.llm.common import spared, stage
 
 GRAIN = 8
 
@@ -167,7 +167,7 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, window: int, end_id: int
             arrays = [batch.column(0).take(pa.array(at)), *(pa.array(c, k) for c, k in zip(cols, kinds))]
             yield pa.RecordBatch.from_arrays(arrays + ([pa.array(ids_of, pa.list_(pa.int32()))] if with_ids else []), names=[f.split()[0] for f in schema.split(", ")])
 
-    return docs.select(id_col, text_col).mapInArrow(lambda it: run(b for b in it if b.num_rows), schema)
+    return docs.select(id_col, text_col).mapInArrow(spared(run), schema)
 
 
 def pack_documents(

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import partitions, stage
+from lattica.llm.common import partitions, spared, stage
 
 PRIME = (1 << 31) - 1
 BASES = (1_000_003, 1_664_525)
@@ -225,7 +225,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     order = F.col("doc_id").desc_nulls_last()
     dealt = chosen.repartitionByRange(partitions(spark), order).sortWithinPartitions(order)
-    made = stage(dealt.mapInArrow(run, schema), "prefix")
+    made = stage(dealt.mapInArrow(spared(run), schema), "prefix")
     first, last = (made.filter(F.col("edge") == e).select("doc_id", "part", "text") for e in ("first", "last"))
     following = Window.orderBy("part").rowsBetween(1, Window.unboundedFollowing)  # over one row a partition, without texts
     links = first.select("part").withColumn("then", F.min("part").over(following))

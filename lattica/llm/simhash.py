@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import stage
+from lattica.llm.common import spared, stage
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Shingle hashes unpacked to bits at a time.
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, words: int = 3, text_col: str = "text", name:
             out.append(simhash(group))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(np.concatenate(out), pa.int64())], names=[*keep, name])
 
-    return docs.select(*keep, text_col).mapInArrow(run, schema)
+    return docs.select(*keep, text_col).mapInArrow(spared(run), schema)
 
 
 def shared_bytes(a: Column, b: Column) -> Column:

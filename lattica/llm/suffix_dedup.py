@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import stage
+from lattica.llm.common import spared, stage
 
 ANCHOR = 32
 #: Bytes of text per vectorised step (one longer text is a step of its own), and rows of a list that may be broadcast.
@@ -150,7 +150,7 @@ def entries(docs: DataFrame, length: int) -> DataFrame:
                 base = np.append(0, ends)[text]
                 yield _entry_batch(d1[first + text], d2[first + text], key, lo - base, hi - base, at - base, whole)
 
-    return docs.select("d1", "d2", "text").mapInArrow(run, _ENTRY)
+    return docs.select("d1", "d2", "text").mapInArrow(spared(run), _ENTRY)
 
 
 class Levels:
@@ -215,7 +215,7 @@ def _split(docs: DataFrame, length: int, width: int) -> DataFrame:
                     whole = _mix(spans.hash(first, last + length) + _mix(shape))
                     yield _entry_batch(np.full(len(own), d1), np.full(len(own), d2), key, first, last, c[own], whole)
 
-    return docs.select("d1", "d2", "text", "runs").mapInArrow(run, _ENTRY)
+    return docs.select("d1", "d2", "text", "runs").mapInArrow(spared(run), _ENTRY)
 
 
 def _judge(rows: DataFrame) -> DataFrame:
@@ -262,7 +262,7 @@ def short_windows(docs: DataFrame, words: int, length: int) -> DataFrame:
                 keys = np.fromiter((xxhash.xxh64_intdigest(data[a:b]) for a, b in zip(lo.tolist(), end.tolist())), np.uint64, len(lo))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array([d1.as_py()] * len(lo), pa.int64()), pa.array([d2.as_py()] * len(lo), pa.int64()), pa.array(lo, pa.int64()), pa.array(end - length, pa.int64())], names=["key", "d1", "d2", "lo", "hi"])
 
-    rows = stage(docs.select("text", "d1", "d2").mapInArrow(run, "key bigint, d1 bigint, d2 bigint, lo bigint, hi bigint"), "short")
+    rows = stage(docs.select("text", "d1", "d2").mapInArrow(spared(run), "key bigint, d1 bigint, d2 bigint, lo bigint, hi bigint"), "short")
     again = rows.join(rows.groupBy("key").count().filter("count > 1"), "key", "left_semi").select("d1", "d2", "lo", "hi")
     return again.distinct().groupBy("d1", "d2").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
 
@@ -313,7 +313,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, batches: int = 4, text_co
             cols = zip(*out) if out else ((),) * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["row", "text", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    cut = _of(keyed, runs).select("row", "text", "runs").mapInArrow(run, f"row {row_type}, {fields}")
+    cut = _of(keyed, runs).select("row", "text", "runs").mapInArrow(spared(run), f"row {row_type}, {fields}")
     few = runs.count() <= BROADCAST_ROWS
     whole = keyed.join(F.broadcast(runs.select("d1", "d2")) if few else runs.select("d1", "d2"), ["d1", "d2"], "left_anti")
     whole = whole.select("row", "text", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))

@@ -57,7 +57,7 @@ def test_against_sql(spark, oracle, name):
     got, want = queries.QUERIES[name](spark, SMALL).toPandas(), oracle.sql(queries.ORACLE_SQL[name]).df()
     cols = sorted(got.columns)
     assert sorted(want.columns) == cols
-    x, y = (f[cols].astype(str).sort_values(cols).reset_index(drop=True) for f in (got, want))
+    x, y = (f[cols].astype(object).where(f[cols].notna(), None).astype(str).sort_values(cols).reset_index(drop=True) for f in (got, want))  # nulls of all kinds alike
     assert x.equals(y)
 
 
