@@ -21,20 +21,36 @@ def shared_dir(spark: SparkSession) -> str:
     return (told or DEFAULT_SHARED_DIR).rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+def stage(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder (in folders by the column ``by``) and read it back.
 
     Later jobs then read one fixed copy that survives the loss of any executor, and task-dependent
     values such as partition numbers are computed once. ``unstage`` removes it when nothing reads it any more.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lattica/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path, partitionBy=by)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
     return out
 
 
+def stage_by(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """``stage``, in buckets by ``keys``: joins and groups by these do not shuffle it again.
+
+    The table is known to the session only while it is opened; its files stay in the shared folder.
+    """
+    spark = df.sparkSession
+    table, n = f"lattica_{name}_{uuid.uuid4().hex}", partitions(spark)
+    path = f"{shared_dir(spark)}/lattica/{table}"
+    df.repartition(n, *keys).write.option("path", path).option("compression", "zstd").format("parquet").bucketBy(n, *keys).saveAsTable(table)
+    out = spark.table(table)
+    out.staged_at = path
+    out.schema  # resolved before the name goes
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
 def unstage(*tables: DataFrame) -> None:
     """Remove staged ``tables``; only what no later plan reads, lazily or on a retry, may be given."""
     for df in tables:
