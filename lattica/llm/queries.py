@@ -69,7 +69,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.suffix_dedup import remove_repeats
 
-    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), 400).drop("text")
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), 400, passage=(256, 51)).drop("text")
 
 
 QUERIES = {f.__name__: f for f in (op1_quotation_linking, op2_pitman_yor, op3_packing, op4_sharding, op5_byte_bpe, op6_prefix_hash, op7_ordinal_quality, op8_exact_dedup, op9_simhash, op10_suffix_dedup)}

@@ -35,8 +35,8 @@ def words(rng, n, kinds=300):
 # --- 8
 
 def test_exact_dedup(spark, odd, empty):
-    for limit in (0, 10**6):
-        got = exact_dedup.exact_dedup(odd, broadcast_words=limit)
+    for limit in (dict(), dict(bits_per_row=20_000, broadcast_bytes=exact_dedup.BLOCK_BYTES)):
+        got = exact_dedup.exact_dedup(odd, **limit)
         rows = got.collect()
         assert len(rows) == len(ODD) and got.columns[: 2] == ["doc_id", "text"] and rows[0]["size"] == "z"
         by = collections.defaultdict(list)
@@ -51,6 +51,23 @@ def test_exact_dedup(spark, odd, empty):
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
+def test_exact_dedup_shuffles_possible_repeats_only(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {min(i, 1990)}") for i in range(2000)], "doc_id long, text string")
+    staged, was = {}, exact_dedup.stage
+
+    def seen(df, name, by=None):
+        out = was(df, name, by)
+        staged.setdefault(name, []).append(out)
+        return out
+
+    monkeypatch.setattr(exact_dedup, "stage", seen)
+    for limit in (dict(), dict(bits_per_row=64, broadcast_bytes=2 * exact_dedup.BLOCK_BYTES)):  # the second: two segments
+        staged.clear()
+        got = {r.doc_id: r for r in exact_dedup.exact_dedup(docs, **limit).collect()}
+        assert all(got[i].group_size == (10 if i >= 1990 else 1) and got[i].kept == (i < 1990 or i == 1999) for i in range(2000))
+        assert 10 <= staged["maybe"][0].count() <= 80 and len(staged.get("probed", [])) == (2 if limit else 0)
+
+
 # --- 4
 
 def test_sharding(spark, odd, empty):
@@ -333,10 +350,27 @@ def brute_removed(texts, length):
         yield len(t), int(gone.sum()), int(np.count_nonzero(np.diff(np.r_[0, gone.astype(int)]) > 0)), hashlib.sha256(np.frombuffer(t, np.uint8)[~gone].tobytes()).hexdigest()
 
 
-@pytest.mark.parametrize("length,batches", [(64, 1), (100, 4)])
-def test_suffix_dedup(spark, length, batches):
+def brute_passages(texts, length, many):
+    """Bytes in runs, of ``many`` words or more, of what repeated strings of ``length`` bytes, or of so many words in fewer, cover."""
+    strings = [[(w[i].start(), w[i + many - 1].end()) for i in range(len(w) - many + 1)] for w in (list(re.finditer(rb"[^\x20\x09-\x0D]+", t)) for t in texts)]
+    short = collections.Counter(t[a:b] for t, found in zip(texts, strings) for a, b in found if b - a < length)
+    seen = collections.Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    for t, found in zip(texts, strings):
+        gone = np.zeros(len(t) + 2, bool)
+        for i in range(len(t) - length + 1):
+            if seen[t[i : i + length]] > 1:
+                gone[i + 1 : i + 1 + length] = True
+        for a, b in found:
+            if b - a < length and short[t[a:b]] > 1:
+                gone[a + 1 : b + 1] = True
+        edge = np.flatnonzero(np.diff(gone.astype(int)))
+        yield sum(int(b - a) for a, b in edge.reshape(-1, 2) if sum(a <= w.start() and w.end() <= b for w in re.finditer(rb"[^\x20\x09-\x0D]+", t)) >= many)
+
+
+@pytest.mark.parametrize("length,passage", [(64, None), (100, None), (120, (64, 14)), (64, (64, 14))])
+def test_suffix_dedup(spark, length, passage):
     rng = random.Random(length)
-    passages = [words(rng, 40) for _ in range(6)]
+    passages = [words(rng, 40) for _ in range(6)] + [" ".join(rng.choice("abcdefghij") for _ in range(40))]
     texts = []
     for i in range(60):
         parts = [words(rng, rng.randrange(5, 40)) for _ in range(3)]
@@ -347,25 +381,48 @@ def test_suffix_dedup(spark, length, batches):
         texts.append(" ".join(parts))
     texts += [texts[0], texts[1][:-30] + "é" * 200, "ab" * 300, "q" * (length - 1), "r" * length, "s" * (length + 1), "", None]
     rows = list(enumerate(texts)) + [(9, texts[9])]
-    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length, batches).collect()
-    want = collections.Counter(zip([i for i, _ in rows], brute_removed([(t or "").encode() for _, t in rows], length)))
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length, passage=passage).collect()
+    plain = [(t or "").encode() for _, t in rows]
+    want = collections.Counter(zip([i for i, _ in rows], brute_removed(plain, length)))
     assert collections.Counter((r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in got) == want
+    if passage:
+        want = collections.Counter(zip([i for i, _ in rows], brute_passages(plain, *passage)))
+        assert collections.Counter((r.doc_id, r.n_passage) for r in got) == want and 0 < sum(n == 0 for _, n in want) < len(want) - 5
 
 
 def test_suffix_dedup_cases(spark, odd, empty):
-    out = suffix_dedup.remove_repeats(odd, 400, 2)
+    out = suffix_dedup.remove_repeats(odd, 400, passage=(256, 51))
     rows = out.collect()
-    assert len(rows) == len(ODD) and rows[0]["row"] == "z" and out.columns[-1] == "kept_sha256"
+    assert len(rows) == len(ODD) and rows[0]["row"] == "z" and out.columns[-2:] == ["kept_sha256", "n_passage"]
     assert all(r.text is None for r in rows if r.doc_id == 2) and all(r.text == "" for r in rows if r.doc_id in (6, 7))
     assert suffix_dedup.remove_repeats(empty, 400).count() == 0
 
 
-def test_levels_merge_geometrically(spark):
+def test_levels_merge_geometrically():
     family = suffix_dedup.Levels()
     for i in range(6):
-        hits = family.add(spark.createDataFrame([(i,), (100 + i,), (7,)] + [(50,)] * (i == 4), "key long").distinct() if i != 4 else spark.createDataFrame([(4,), (4,), (7,)], "key long"))
-        assert {r.key for r in hits.collect()} == ({7} if i else set()) | ({4} if i == 4 else set())
-    assert [rank for rank, _ in family.levels] == [2, 1]
+        hits = family.add(np.array([7, 10 + i, 100 + i], np.uint64))
+        assert hits.tolist() == ([7] if i else [])
+    assert [(rank, len(keys)) for rank, keys in family.levels] == [(2, 9), (1, 5)]
+
+
+def test_marks_of_keys():
+    """Marks by (key, coverage), whichever batches they come in; one row stands for a class of a key with several."""
+    rng = np.random.default_rng(4)
+    batches, all_rows = [], collections.Counter()
+    for _ in range(7):
+        rows = collections.Counter((int(k), int(w)) for k, w in zip(rng.integers(0, 300, 60), rng.integers(0, 2, 60)))
+        all_rows += rows
+        key, whole = (np.array(c, np.uint64) for c in zip(*sorted(rows)))
+        batches.append(suffix_dedup._packed(np.diff(key, prepend=np.uint64(0)), whole, np.array([rows[k] > 1 for k in sorted(rows)], np.uint8)))
+    marks, looked = suffix_dedup.judged(batches), collections.Counter()
+    kinds = collections.Counter(k for k, _ in all_rows)
+    for data, m in zip(batches, marks):
+        key, whole, _ = suffix_dedup._unpacked(data)
+        for k, w, x in zip(np.cumsum(key, dtype=np.uint64).tolist(), whole.tolist(), m.tolist()):
+            assert bool(x & 1) == (all_rows[k, w] > 1)
+            looked[k, w] += x >> 1
+    assert all(looked[r] == (kinds[r[0]] > 1) for r in all_rows)
 
 
 # --- 2
