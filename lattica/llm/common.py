@@ -6,7 +6,9 @@ import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +79,25 @@ def spared(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return spare
 
 
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of unsigned numbers as one compressed value: byte by byte of the numbers' places, so that leading zeros are runs."""
+    parts = [np.array([len(arrays)], "<u4").tobytes()]
+    for a in arrays:
+        parts += [np.array([len(a), a.dtype.itemsize], "<u4").tobytes(), a.view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes()]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+
+
+def unpacked(data: bytes) -> list[np.ndarray]:
+    """The arrays of ``packed``."""
+    plain = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    out, at = [], 4
+    for _ in range(int(plain[:4].view("<u4")[0])):
+        n, size = plain[at : at + 8].view("<u4").tolist()
+        out.append(np.ascontiguousarray(plain[at + 8 : at + 8 + n * size].reshape(size, n).T).view(f"<u{size}").ravel())
+        at += 8 + n * size
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -26,12 +26,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import partitions, spared, stage, stage_by, unstage
+from lattica.llm.common import packed, partitions, spared, stage, stage_by, unpacked, unstage
 
 ANCHOR = 32
 #: Entries of a batch (one text's are never parted), and bytes of text for each range of keys.
@@ -147,25 +146,6 @@ def _steps(texts: Iterator[bytes]) -> Iterator[tuple[int, list[bytes]]]:
         yield first, group
 
 
-def _packed(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed value: byte by byte of the numbers' places, so that leading zeros are runs."""
-    parts = [np.array([len(arrays)], "<u4").tobytes()]
-    for a in arrays:
-        parts += [np.array([len(a), a.dtype.itemsize], "<u4").tobytes(), a.view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes()]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
-
-
-def _unpacked(data: bytes) -> list[np.ndarray]:
-    """The arrays of ``_packed``, unsigned."""
-    plain = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    out, at = [], 4
-    for _ in range(int(plain[:4].view("<u4")[0])):
-        n, size = plain[at : at + 8].view("<u4").tolist()
-        out.append(np.ascontiguousarray(plain[at + 8 : at + 8 + n * size].reshape(size, n).T).view(f"<u{size}").ravel())
-        at += 8 + n * size
-    return out
-
-
 _BATCHES = "batch bigint, part int, data binary"
 
 
@@ -198,10 +178,10 @@ class Batch:
         key, whole = key[first], whole[first]
         part = (key >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(key), np.int64)
         cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]).tolist() + [len(part)]
-        parts, data = [-1], [_packed(np.concatenate(self.docs).view(np.uint64).ravel(), copies.astype(np.uint32), own.astype(np.uint32), *(x.astype(np.int32).view(np.uint32) for x in (lo, hi - lo, at - lo)))]
+        parts, data = [-1], [packed(np.concatenate(self.docs).view(np.uint64).ravel(), copies.astype(np.uint32), own.astype(np.uint32), *(x.astype(np.int32).view(np.uint32) for x in (lo, hi - lo, at - lo)))]
         for a, b in zip(cuts, cuts[1:]):
             parts.append(int(part[a]))
-            data.append(_packed(np.diff(key[a:b], prepend=np.uint64(0)), whole[a:b], (copies[a:b] > 1).astype(np.uint8)))
+            data.append(packed(np.diff(key[a:b], prepend=np.uint64(0)), whole[a:b], (copies[a:b] > 1).astype(np.uint8)))
         yield pa.RecordBatch.from_arrays([pa.array([self.name] * len(parts), pa.int64()), pa.array(parts, pa.int32()), pa.array(data, pa.binary())], names=["batch", "part", "data"])
 
 
@@ -250,14 +230,14 @@ def judged(batches: list[bytes]) -> list[np.ndarray]:
     """For each batch's array of one range of keys, marks of its (key, coverage)."""
     family, hits = Levels(), []
     for data in batches:
-        key, _, many = _unpacked(data)
+        key, _, many = unpacked(data)
         key = np.cumsum(key, dtype=np.uint64)
         distinct = np.unique(key)
         hits += [family.add(distinct), key[many > 0], key[1:][key[1:] == key[:-1]]]
     matched = np.unique(np.concatenate(hits))
     rows, sizes = [], []
     for b, data in enumerate(batches):  # of matched keys alone
-        key, whole, many = _unpacked(data)
+        key, whole, many = unpacked(data)
         key = np.cumsum(key, dtype=np.uint64)
         sizes.append(len(key))
         at = np.minimum(np.searchsorted(matched, key), len(matched) - 1)
@@ -303,12 +283,12 @@ def matches(batches: DataFrame, name: str, join: bool = True) -> DataFrame:
     def mark(group: pa.Table) -> pa.Table:
         group = group.sort_by("batch")
         marks = judged([x.as_py() for x in group["data"]])
-        return pa.table({"batch": group["batch"], "part": group["part"], "marks": pa.array([_packed(m) for m in marks], pa.binary())})
+        return pa.table({"batch": group["batch"], "part": group["part"], "marks": pa.array([packed(m) for m in marks], pa.binary())})
 
     def deal(held: pa.Table, marked: pa.Table) -> pa.Table:
-        docs, copies, own, lo, hi, at = _unpacked(held["data"][0].as_py())
+        docs, copies, own, lo, hi, at = unpacked(held["data"][0].as_py())
         docs, (lo, hi, at) = docs.reshape(-1, 2).view(np.int64), (x.view(np.int32).astype(np.int64) for x in (lo, hi, at))
-        marks = np.concatenate([_unpacked(x.as_py())[0] for x in marked.sort_by("part")["marks"]])
+        marks = np.concatenate([unpacked(x.as_py())[0] for x in marked.sort_by("part")["marks"]])
         first = np.cumsum(copies) - copies
         which = np.repeat(np.arange(len(copies)), copies)
         sure = np.flatnonzero(marks[which] & _TWICE)
