@@ -463,15 +463,14 @@ def test_pitman_yor_is_the_same_however_dealt(spark):
     assert all(abs(found[0][i] - found[1][i]) < 1e-6 * abs(found[0][i]) + 1e-9 for i in found[0])
 
 
-def chinese_restaurants(rows, d, d0, samples, burn, rng):
+def chinese_restaurants(rows, d, d0, base, samples, burn, rng):
     """Customer by customer: mean predictive probabilities, as a function of (context, word), of seatings of ``rows`` (context, word)."""
     vocabulary = sorted({w for _, w in rows})
-    base = 1 / (len(vocabulary) + 1)
     tables, root = collections.defaultdict(list), collections.defaultdict(list)
     in_context, of_context, total_root, all_roots = collections.Counter(), collections.Counter(), 0, 0
 
     def root_p(w):
-        return (sum(root[w]) - d0 * len(root[w]) + (pitman_yor.ROOT_STRENGTH + d0 * all_roots) * base) / (pitman_yor.ROOT_STRENGTH + total_root)
+        return (sum(root[w]) - d0 * len(root[w]) + (pitman_yor.ROOT_STRENGTH + d0 * all_roots) * base[w is None]) / (pitman_yor.ROOT_STRENGTH + total_root)
 
     def p(u, w):
         own = tables[u, w]
@@ -503,7 +502,7 @@ def chinese_restaurants(rows, d, d0, samples, burn, rng):
         nonlocal total_root, all_roots
         if sit(tables[u, w], pick(tables[u, w], d, (pitman_yor.STRENGTH + d * of_context[u]) * root_p(w))):
             of_context[u] += 1
-            all_roots += sit(root[w], pick(root[w], d0, (pitman_yor.ROOT_STRENGTH + d0 * all_roots) * base))
+            all_roots += sit(root[w], pick(root[w], d0, (pitman_yor.ROOT_STRENGTH + d0 * all_roots) * base[0]))
             total_root += 1
         in_context[u] += 1
 
@@ -543,7 +542,8 @@ def test_pitman_yor_against_single_customers(spark, monkeypatch):
     each = collections.Counter(w for _, w in count)
     d = pitman_yor.estimated(sum(c == 1 for c in count.values()), sum(c == 2 for c in count.values()))
     d0 = pitman_yor.estimated(sum(c == 1 for c in each.values()), sum(c == 2 for c in each.values()))
-    mean = chinese_restaurants(training, d, d0, 60, 20, rng)
+    of = collections.Counter(w for _, w in training)
+    mean = chinese_restaurants(training, d, d0, pitman_yor.base(len(of), sum(c == 1 for c in of.values())), 60, 20, rng)
     known, contexts = {w for _, w in training}, {u for u, _ in training}
     want = {i: sum(np.log10(mean[u, w if w in known else None]) for u, w in own) for i, own in seen.items() if all(u in contexts for u, _ in own)}
     error = [abs(got[i].score - x) / abs(x) for i, x in want.items()]
@@ -561,7 +561,7 @@ def test_seating_keeps_its_customers():
     rng = np.random.default_rng(1)
     count, context, word = rng.integers(2, 1000, 50), rng.integers(0, 5, 50), np.arange(50) // 2
     s = seating(count, context, word)
-    whole = pitman_yor.Whole(0.7, 0.4, 25, np.bincount(context, minlength=5), 25)
+    whole = pitman_yor.Whole(0.7, 0.4, 25, 5, np.bincount(context, minlength=5), 25)
     for k in range(5):
         s.sweep(whole, range(4 * k, 4 * k + 4))
         assert (s.tables >= 1).all() and (s.tables <= count).all() and (s.roots >= 1).all() and (s.roots <= s.customers()).all()
