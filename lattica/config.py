@@ -10,6 +10,7 @@ ALLOWED_EXTENSIONS = (".md", ".txt", ".py", ".json", ".yaml", ".yml", ".toml", "
 
 @dataclass(frozen=True)
 class EngineConfig:
+    # The defaults.
     vector_size: int = 768
     max_embed_chars: int = 6000
     chunk_size: int = 500

@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import json
-import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that ask about the whole collection, and suffixes that name a file.
+# Words that ask about the whole collection, and what names a file.
 GLOBAL_WORDS = ("theme", "themes", "overview", "summarize", "summary", "main", "overall", "across", "everything", "codebase")
-FILE_SUFFIXES = ("md", "py", "tsx?", "jsx?", "json", "ya?ml", "toml", "go", "rs", "txt")
-FILE_NAME = rf"\b[\w-]+\.(?:{'|'.join(FILE_SUFFIXES)})\b"
+FILE_NAME = r"\b[\w-]+\.(?:md|py|tsx?|jsx?|json|ya?ml|toml|go|rs|txt)\b"
+# Unicode's white space, and the four separators that text functions of Python count to it.
+WHITE = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
+def stripped(text: Column) -> Column:
+    """Without white space at its ends."""
+    return F.btrim(text, F.lit(WHITE))
 
 
 def slug(name: Column) -> Column:
@@ -39,13 +44,8 @@ def heuristic_route(question: Column) -> Column:
 
 def prepared_for_embedding(text: Column, limit: int) -> Column:
     """Stripped and cut to ``limit`` characters; null if nothing is left."""
-    stripped = F.regexp_replace(text, r"^\s+|\s+$", "")
-    return F.when(F.length(stripped) > 0, F.substring(stripped, 1, limit))
-
-
-def nulls_for_none(text: Column) -> Column:
-    """JSON-like text with Python's None, where a value stands, as null."""
-    return F.regexp_replace(text, r"([:,\[]\s*)None(?=\s*[,}\]])", "$1null")
+    bare = stripped(text)
+    return F.when(F.length(bare) > 0, F.substring(bare, 1, limit))
 
 
 def mentions(text: Column, name: Column) -> Column:
@@ -54,28 +54,39 @@ def mentions(text: Column, name: Column) -> Column:
     return F.regexp_like(text, F.concat(F.lit(r"(?iu)\b"), quoted, F.lit(r"\b")))
 
 
-_NONE = re.compile(r"([:,\[]\s*)None(?=\s*[,}\]])")
+def none_as_null(text: str) -> str:
+    """JSON-like text in which Python's None, where a value stands, is null: after a colon, comma or opening
+    bracket and before a comma or closing bracket, white space aside."""
+    out, done, size = [], 0, len(text)
+    at = text.find("None")
+    while at >= 0:
+        left, right = at - 1, at + 4
+        while left >= 0 and text[left].isspace():
+            left -= 1
+        while right < size and text[right].isspace():
+            right += 1
+        if left >= 0 and text[left] in ":,[" and right < size and text[right] in ",}]":
+            out += [text[done:at], "null"]
+            done = at + 4
+        at = text.find("None", at + 4)
+    return "".join([*out, text[done:]])
 
 
 def recover_json(text: str | None):
-    """The first of the readings of a model's answer that parses, or None.
+    """The value of a model's answer by the first reading that parses, or None.
 
-    Tried: the text; what follows a leading {}; the part from the first { to the last }; and each with
-    None read as null, in the order text after {} - block - text - block.
+    Readings are parts of the text, as they are or with None as null; their order is the contract: the text,
+    what follows a leading {} in both ways, the part from the first { to the last }, and then the text and
+    that part with None as null.
     """
     if not text:
         return None
-    readings = [text]
-    stripped = text.strip()
-    if stripped.startswith("{}") and (rest := stripped[2:].strip()):
-        readings += [rest, _NONE.sub(r"\1null", rest)]
-    start, end = text.find("{"), text.rfind("}")
-    block = text[start : end + 1] if 0 <= start < end else None
-    readings += [block, _NONE.sub(r"\1null", text), block and _NONE.sub(r"\1null", block)]
-    for reading in readings:
-        if reading:
-            try:
-                return json.loads(reading)
-            except ValueError:
-                continue
+    bare, first, last = text.strip(), text.find("{"), text.rfind("}")
+    after = bare[2:].strip() if bare.startswith("{}") else ""
+    block = text[first : last + 1] if 0 <= first < last else ""
+    for part, reading in ((text, str), (after, str), (after, none_as_null), (block, str), (text, none_as_null), (block, none_as_null)):
+        try:
+            return json.loads(reading(part))
+        except ValueError:  # an empty part too
+            continue
     return None

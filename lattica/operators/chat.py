@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.config import DEFAULT, EngineConfig
+from lattica.functions.text import stripped
 
 ROLES = ("system", "user", "assistant")
 EMPTY_ANSWER = "No answer."
@@ -44,7 +45,7 @@ def latest_questions(messages: DataFrame, config: EngineConfig = DEFAULT) -> Dat
     """(conv_id, question, status): the last user message, stripped; ok, no_user, empty or too_long."""
     user = F.when(F.col("role") == "user", F.col("turn"))
     last = messages.groupBy("conv_id").agg(F.max_by("text", user).alias("text"), F.max(user).alias("at"))
-    question = F.regexp_replace("text", r"^\s+|\s+$", "")
+    question = stripped(F.col("text"))
     status = F.when(F.col("at").isNull(), "no_user").when(F.coalesce(F.length("question"), F.lit(0)) == 0, "empty").when(F.length("question") > config.max_question_chars, "too_long").otherwise("ok")
     return last.withColumn("question", question).select("conv_id", "question", status.alias("status"))
 
@@ -56,6 +57,24 @@ def request_fields(requests: DataFrame, config: EngineConfig = DEFAULT) -> DataF
     return requests.withColumn("valid", F.coalesce(ok, F.lit(False)))
 
 
+def login_fields(logins: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
+    """``logins`` (username, password) with valid: each of 1 to as many characters as a model's name may have."""
+    ok = F.length("username").between(1, config.max_model_name_chars) & F.length("password").between(1, config.max_model_name_chars)
+    return logins.withColumn("valid", F.coalesce(ok, F.lit(False)))
+
+
+def model_entries(models: DataFrame) -> DataFrame:
+    """(model, body): the entry of a list of models in JSON, for ``models`` (model)."""
+    return models.select("model", F.to_json(F.struct(F.col("model").alias("id"), F.lit("model").alias("object"), F.lit("local").alias("owned_by"))).alias("body"))
+
+
+def stream_end(conversations: DataFrame, model: str) -> DataFrame:
+    """(conv_id, line): what ends a stream of chunks."""
+    choice = F.struct(F.lit(0).alias("index"), F.from_json(F.lit("{}"), "content string").alias("delta"), F.lit("stop").alias("finish_reason"))
+    body = F.to_json(F.struct(F.lit("chat.completion.chunk").alias("object"), F.lit(model).alias("model"), F.array(choice).alias("choices")))
+    return conversations.select("conv_id", F.concat(F.lit("data: "), body, F.lit("\n\ndata: [DONE]\n\n")).alias("line"))
+
+
 def responses(answers: DataFrame, model: str) -> DataFrame:
     """(conv_id, body): a completion object in JSON for ``answers`` (conv_id, answer)."""
     content = F.when(F.coalesce(F.col("answer"), F.lit("")) == "", EMPTY_ANSWER).otherwise(F.col("answer"))

@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections import defaultdict
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.operators.graph import components, member_hashes
+from lattica.functions.text import stripped
+from lattica.models import with_embeddings
+from lattica.operators.generation import complete
+from lattica.operators.graph import community_relationships, components, member_hashes
+from lattica.sources.shared import checkpointed
 
 
 def louvain_local(edges: list[tuple[str, str, float]], total: float, least_gain: float = 1e-7) -> dict[str, str]:
@@ -82,7 +86,12 @@ def louvain(edges: DataFrame) -> DataFrame:
         return pd.DataFrame({"id": list(found), "least": list(found.values())})
 
     found = part.groupBy("component").applyInPandas(solve, "id string, least string")
-    order = found.select("least").distinct().rdd.map(lambda r: r[0]).sortBy(lambda x: x).zipWithIndex().toDF("least string, community bigint")
+    found = checkpointed(found)
+    dealt = checkpointed(found.select("least").distinct().repartitionByRange("least").withColumn("part", F.spark_partition_id()))
+    counts = dealt.groupBy("part").agg(F.count("*").alias("n"))  # one row a partition
+    before = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    nth = F.row_number().over(Window.partitionBy("part").orderBy("least"))
+    order = dealt.join(F.broadcast(before), "part").select("least", (F.col("before") + nth - 1).alias("community"))
     return found.join(order, "least").select("id", F.col("community").cast("int").alias("community"))
 
 
@@ -114,6 +123,51 @@ def refresh_summaries(entities: DataFrame, relationships: DataFrame, communities
     return both.filter("same").select("id", "member_hash", "summary", F.lit("kept").alias("status")).unionByName(new)
 
 
+# Our own wording.
+SUMMARY_PROMPT = "Say in one short paragraph what the following things have in common and how they work together.\n\nThings:\n"
+
+
+def summary_prompts(entities: DataFrame, relationships: DataFrame, communities: DataFrame) -> DataFrame:
+    """(id, prompt) for ``communities`` (id): their entities by id, and their inner relationships by ids, if there are any."""
+    wanted = communities.select("id").distinct()
+    of = entities.join(wanted.withColumnRenamed("id", "community"), "community", "left_semi")
+    line = F.concat(F.lit("- "), F.col("name"), F.lit(" ("), F.coalesce(F.nullif("type", F.lit("")), F.lit("unknown")), F.lit("): "), F.coalesce("description", F.lit("")))
+    text = lambda rows, key, t: rows.groupBy(F.col("community").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*key, t.alias("t")))), lambda x: x["t"]), "\n").alias("lines"))
+    things = text(of, ["id"], line)
+    edge = F.concat(F.lit("- "), F.col("source_id"), F.lit(" --["), F.col("label"), F.lit("]--> "), F.col("target_id"))
+    edges = text(community_relationships(of, relationships), ["source_id", "target_id", "label"], edge).withColumnRenamed("lines", "edges")
+    rest = F.coalesce(F.concat(F.lit("\n\nConnections:\n"), F.col("edges")), F.lit(""))
+    return things.join(edges, "id", "left").select("id", F.concat(F.lit(SUMMARY_PROMPT), F.col("lines"), rest).alias("prompt"))
+
+
+def summarise_all(entities: DataFrame, relationships: DataFrame, communities: DataFrame, model, embedder, force: bool = False) -> DataFrame:
+    """``communities`` (id, member_hash, summary, vector) brought up to date, with status: 'kept' where the members'
+    hash is the same, 'summarised', or 'failed' where the model gave nothing.
+
+    A failed community keeps what it had, under its old hash, so that the next run asks again. Communities
+    without entities are dropped; all are asked with ``force``.
+    """
+    now = member_hashes(entities, relationships).select(F.col("community").alias("id"), F.col("member_hash").alias("now"))
+    both = now.join(communities.select("id", "member_hash", "summary", "vector"), "id", "left")
+    both = both.withColumn("same", F.lit(not force) & F.coalesce(F.col("member_hash") == F.col("now"), F.lit(False)))
+    todo = both.filter(~F.col("same"))
+    told = complete(todo.join(summary_prompts(entities, relationships, todo.select("id")), "id"), "prompt", model, "answer")
+    told = with_embeddings(told.withColumn("answer", F.nullif(stripped(F.col("answer")), F.lit(""))), "answer", embedder, "fresh")
+    ok = F.col("answer").isNotNull()
+    new = told.select("id", F.when(ok, F.col("now")).otherwise(F.col("member_hash")).alias("member_hash"), F.coalesce("answer", "summary").alias("summary"), F.when(ok, F.col("fresh")).otherwise(F.col("vector")).alias("vector"), F.when(ok, "summarised").otherwise("failed").alias("status"))
+    return both.filter("same").select("id", "member_hash", "summary", "vector", F.lit("kept").alias("status")).unionByName(new)
+
+
+def active_communities(entities: DataFrame) -> DataFrame:
+    """(id): communities that some entity is in."""
+    return entities.filter("community is not null").select(F.col("community").alias("id")).distinct()
+
+
+def with_members(communities: DataFrame) -> DataFrame:
+    """``communities`` with entity_ids read from its JSON."""
+    return communities.withColumn("entity_ids", F.from_json("entity_ids", "array<string>"))
+
+
 def extractive_summary(members):
     """Offline summary: the names of the first members."""
     return F.concat(F.size(members).cast("string"), F.lit(" entities: "), F.array_join(F.slice(F.transform(members, lambda m: m["name"]), 1, 10), ", "))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.functions.text import slug
+from lattica.functions.text import slug, stripped
 from lattica.sources.shared import checkpointed
 
 
@@ -19,7 +19,7 @@ def merge_entities(mentions: DataFrame, base: DataFrame | None = None) -> DataFr
     The first name stays, the first type that isn't null, and the longest description (the earlier of equals,
     none if empty). Names without a slug are left out.
     """
-    rows = mentions.withColumn("id", slug(F.col("name"))).filter("id <> ''").select("id", F.trim("name").alias("name"), "type", "description", "seq", F.lit(1).alias("_new"))
+    rows = mentions.withColumn("id", slug(F.col("name"))).filter("id <> ''").select("id", stripped(F.col("name")).alias("name"), "type", "description", "seq", F.lit(1).alias("_new"))
     if base is not None:
         rows = rows.unionByName(base.select("id", "name", "type", "description", F.lit(0).cast("long").alias("seq"), F.lit(0).alias("_new")))
     at = F.struct("_new", "seq")
@@ -52,7 +52,7 @@ def delete_files(relationships: DataFrame, chunks: DataFrame, links: DataFrame,
 
 def gc_orphans(entities: DataFrame, relationships: DataFrame, links: DataFrame) -> DataFrame:
     """Entities that a relationship or a link refers to."""
-    used = relationships.select(F.explode(F.array("source_id", "target_id")).alias("id")).unionByName(links.select(F.col("entity_id").alias("id")))
+    used = relationships.select(F.explode(F.array("source_id", "target_id")).alias("id")).unionByName(links.select(F.col("entity_id").alias("id"))).distinct()  # map-side first
     return entities.join(used, "id", "left_semi").select(*entities.columns)
 
 
@@ -83,12 +83,11 @@ def induced(relationships: DataFrame, nodes: DataFrame) -> DataFrame:
     return head.join(nodes.select("seed", F.col("id").alias("target_id")), ["seed", "target_id"], "left_semi").select("seed", *relationships.columns)
 
 
-def neighborhoods(entities: DataFrame, relationships: DataFrame, seeds: DataFrame, hops: int) -> tuple[DataFrame, DataFrame]:
-    """Entities (seed, id, name, type, description) and relationships of each seed's neighbourhood.
+def neighborhoods(entities: DataFrame, relationships: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entities (seed, id, name, type, description) and relationships of the neighbourhoods ``nodes`` (seed, id).
 
     A seed without edges has its own entity row alone, and nothing if there is none.
     """
-    nodes = k_hop(simple_graph(relationships), seeds, hops)
     return nodes.select("seed", "id").join(entities.select("id", "name", "type", "description"), "id"), induced(relationships, nodes)
 
 
@@ -123,11 +122,11 @@ def member_hashes(entities: DataFrame, relationships: DataFrame) -> DataFrame:
     return e.join(r, "community", "left").select("community", F.sha2(F.array_join(lines, "\n"), 256).alias("member_hash"))
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(id, component): least node reachable over ``edges`` (src, dst), by label propagation with jumps."""
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component): least node reachable over ``edges`` (src, dst), by label propagation with jumps until nothing changes."""
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     labels = checkpointed(both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("component")).withColumnRenamed("src", "id"))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.select(F.col("id").alias("dst"), "component"), "dst").groupBy("src").agg(F.min("component").alias("near"))
         step = labels.join(near, labels["id"] == near["src"]).select("id", F.least("component", "near").alias("component"), "near")
         jump = step.join(step.select(F.col("id").alias("component"), F.col("component").alias("far")), "component")
@@ -135,4 +134,3 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if now.join(labels, ["id", "component"], "left_anti").isEmpty():
             return now
         labels = now
-    return labels

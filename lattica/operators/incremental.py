@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,18 +43,52 @@ def upsert(table: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
     return table.join(rows.select(*key), key, "left_anti").unionByName(rows)
 
 
-def commit(spark: SparkSession, tables: dict[str, DataFrame], folder: str, last: str = "fingerprints") -> None:
-    """Write each of ``tables`` beside its current version and move it in place, ``last`` last.
+class Store:
+    """Tables in a folder that all executors share, committed together.
 
-    A reader that starts from the fingerprints never sees one whose data isn't there; a run that stops
-    half-way leaves old fingerprints, so its files are done again, under the same chunk ids.
+    A commit writes new versions beside the current ones and then a pointer that names them all; readers follow
+    the last pointer, so they see all of a commit or nothing, and a run that stops half-way leaves the old state.
+    Old versions stay readable for one more commit.
     """
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = sorted(tables, key=lambda n: (n == last, n))
-    for name in names:
-        tables[name].write.mode("overwrite").parquet(f"{folder}/.next-{name}")
-    for name in names:
-        fs.delete(path(f"{folder}/{name}"), True)
-        if not fs.rename(path(f"{folder}/.next-{name}"), path(f"{folder}/{name}")):
-            raise RuntimeError(f"{name} could not be moved in place")
+
+    def __init__(self, spark: SparkSession, folder: str, schemas: dict[str, str]):
+        """``schemas``: of the tables, also of those that were never written."""
+        self.spark, self.folder, self.schemas = spark, folder.rstrip("/"), schemas
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _pointers(self) -> list[str]:
+        at = self._path(f"{self.folder}/pointers")
+        return sorted(f.getPath().getName() for f in self._fs.listStatus(at) if f.getPath().getName().isdigit()) if self._fs.exists(at) else []
+
+    def _named(self, pointer: str) -> dict[str, str]:
+        rows = self.spark.read.schema("name string, version string").json(f"{self.folder}/pointers/{pointer}").collect()  # one a table
+        return {r["name"]: r["version"] for r in rows}
+
+    def versions(self) -> dict[str, str]:
+        found = self._pointers()
+        return self._named(found[-1]) if found else {}
+
+    def read(self, name: str) -> DataFrame:
+        version = self.versions().get(name)
+        return self.spark.read.schema(self.schemas[name]).parquet(f"{self.folder}/{name}/{version}") if version else self.spark.createDataFrame([], self.schemas[name])
+
+    def commit(self, tables: dict[str, DataFrame]) -> None:
+        """Replace each of ``tables``; the others stay as they are."""
+        found = self._pointers()
+        before = self._named(found[-1]) if found else {}
+        now = dict(before)
+        for name, df in tables.items():
+            now[name] = uuid.uuid4().hex
+            df.write.parquet(f"{self.folder}/{name}/{now[name]}")
+        number = f"{int(found[-1]) + 1 if found else 0:012d}"
+        draft = f"{self.folder}/pointers/_draft-{uuid.uuid4().hex}"
+        self.spark.createDataFrame(sorted(now.items()), "name string, version string").coalesce(1).write.json(draft)
+        if self._fs.exists(self._path(f"{self.folder}/pointers/{number}")) or not self._fs.rename(self._path(draft), self._path(f"{self.folder}/pointers/{number}")):
+            self._fs.delete(self._path(draft), True)
+            raise RuntimeError("another commit came between")
+        for old in found[:-1]:
+            for name, version in self._named(old).items():
+                if version not in (before.get(name), now.get(name)):
+                    self._fs.delete(self._path(f"{self.folder}/{name}/{version}"), True)
+            self._fs.delete(self._path(f"{self.folder}/pointers/{old}"), True)

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.config import DEFAULT, EngineConfig
-from lattica.functions.text import heuristic_route, identifiers
+from lattica.functions.text import heuristic_route, identifiers, stripped
 from lattica.functions.vector import cosine_topk
-from lattica.operators.graph import neighborhoods
+from lattica.operators.graph import k_hop, neighborhoods, simple_graph
+from lattica.sources.shared import staged
 
 
 def definition_lookup(questions: DataFrame, chunks: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
@@ -37,6 +38,20 @@ def seed_entities(hits: DataFrame, links: DataFrame) -> DataFrame:
     return found.select("question_id", "entity_id", F.row_number().over(Window.partitionBy("question_id").orderBy("hit", "entity_id")).alias("seed_rank"))
 
 
+def needed_seeds(seeds: DataFrame, nodes: DataFrame, entities: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
+    """Those of ``seeds`` whose neighbourhoods can reach a question's capped result.
+
+    Results come seed by seed. A neighbourhood of n nodes is connected, so it has n - 1 relationships at least:
+    behind a seed that alone fills both caps no other counts. ``nodes``: (seed, id).
+    """
+    known = nodes.join(entities.select("id").withColumn("known", F.lit(1)), "id", "left")
+    size = known.groupBy(F.col("seed").alias("entity_id")).agg(F.count("*").alias("n"), F.sum(F.coalesce("known", F.lit(0))).alias("known"))
+    full = (F.col("n") - 1 >= config.max_relationships) & (F.col("known") >= config.max_entities)
+    last = F.min(F.when(full, F.col("seed_rank"))).over(Window.partitionBy("question_id"))
+    rows = seeds.join(size, "entity_id", "left").withColumn("last", last)
+    return rows.filter(F.col("last").isNull() | (F.col("seed_rank") <= F.col("last"))).select(*seeds.columns)
+
+
 def merge_neighborhoods(seeds: DataFrame, around: tuple[DataFrame, DataFrame], config: EngineConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """Entities (question_id, rank, id, ...) and relationships of each question's seeds, first seen first, capped.
 
@@ -57,9 +72,12 @@ def local_retrieve(questions: DataFrame, chunks: DataFrame, links: DataFrame, en
     """Entities, relationships and texts for ``questions`` (question_id, question, vector) over
     ``chunks`` (chunk_id, vector, text, def_name, chunk_index). Neighbourhoods are found once a seed."""
     near = cosine_topk(questions, chunks.select(F.col("chunk_id").alias("id"), "vector"), config.retrieval_k)
-    seeds = seed_entities(near, links)
-    around = neighborhoods(entities, relationships, seeds.select(F.col("entity_id").alias("seed")).distinct(), config.hops)
-    e, r = merge_neighborhoods(seeds, around, config)
+    near, relationships = staged(near, "near"), staged(relationships, "relationships")  # read by several branches
+    seeds = staged(seed_entities(near, links), "seeds")
+    nodes = staged(k_hop(simple_graph(relationships), seeds.select(F.col("entity_id").alias("seed")).distinct(), config.hops).select("seed", "id"), "nodes")
+    seeds = staged(needed_seeds(seeds, nodes, entities, config), "needed")
+    nodes = nodes.join(seeds.select(F.col("entity_id").alias("seed")).distinct(), "seed", "left_semi")
+    e, r = merge_neighborhoods(seeds, neighborhoods(entities, relationships, nodes), config)
     hits = near.join(chunks.select(F.col("chunk_id").alias("id"), "text"), "id").select("question_id", "rank", "text")
     return e, r, context_texts(hits, definition_lookup(questions, chunks, config))
 
@@ -75,7 +93,7 @@ def global_retrieve(questions: DataFrame, communities: DataFrame, n: int = DEFAU
 def route(questions: DataFrame, available: DataFrame, classifier=None) -> DataFrame:
     """``questions`` with route: local where no community is usable; else the classifier's answer if it is one
     of the two, else the heuristic. ``available``: one row, column available."""
-    answer = F.lower(F.trim(classifier(F.col("question")))) if classifier else F.lit(None).cast("string")
+    answer = F.lower(stripped(classifier(F.col("question")))) if classifier else F.lit(None).cast("string")
     chosen = F.when(answer.isin("local", "global"), answer).otherwise(heuristic_route(F.col("question")))
     return questions.crossJoin(F.broadcast(available.limit(1))).withColumn("route", F.when(F.col("available"), chosen).otherwise("local")).drop("available")
 

@@ -15,6 +15,7 @@ from lattica.plans import star
 from lattica.plans.star import SQL as STAR
 from lattica.plans.star import read
 from lattica.sources import files
+from lattica.sources.shared import staged
 from lattica.streaming import limiter
 
 QUERIES: dict = {}
@@ -75,7 +76,7 @@ def relationship_upsert_weight(spark, d):
 @query(STAR + """SELECT e.id, e.name, e.type FROM e WHERE id IN (
   SELECT source_id FROM r WHERE source_doc <> 'lineitem' UNION SELECT target_id FROM r WHERE source_doc <> 'lineitem' UNION SELECT entity_id FROM k)""")
 def orphan_gc_after_delete(spark, d):
-    rel, links = _relationships(spark, d), star.links(spark, d)
+    rel, links = staged(_relationships(spark, d), "relationships"), star.links(spark, d)
     chunks = read(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.lit("vectors").alias("filepath"))
     gone = spark.createDataFrame([("lineitem",)], "filepath string")
     rel, _, links = graph.delete_files(rel, chunks, links, gone)
@@ -105,12 +106,12 @@ def _seeds(spark):
 
 @query(_HOPS + "SELECT * FROM n")
 def k_hop_neighborhood(spark, d):
-    return graph.k_hop(graph.simple_graph(_relationships(spark, d)), _seeds(spark), 2)
+    return graph.k_hop(staged(graph.simple_graph(_relationships(spark, d)), "edges"), _seeds(spark), 2)
 
 
 @query(_HOPS + "SELECT x.seed, r.source_id, r.target_id, r.label, r.weight FROM r JOIN n x ON x.id = source_id JOIN n y ON y.id = target_id AND x.seed = y.seed")
 def induced_relationships(spark, d):
-    rel = _relationships(spark, d)
+    rel = staged(_relationships(spark, d), "relationships")
     return graph.induced(rel, graph.k_hop(graph.simple_graph(rel), _seeds(spark), 2)).select("seed", "source_id", "target_id", "label", "weight")
 
 
@@ -178,7 +179,8 @@ _LOCAL = STAR + f""", {_TOPK},
 sd AS (SELECT question_id, entity_id, row_number() OVER (PARTITION BY question_id ORDER BY min(hit.rank), entity_id) AS s FROM hit JOIN k ON hit.id = k.chunk_id GROUP BY question_id, entity_id),
 b AS (SELECT source_id AS src, target_id AS dst FROM r UNION SELECT target_id, source_id FROM r),
 u AS (SELECT DISTINCT entity_id AS seed FROM sd),
-n AS (SELECT seed, seed AS id FROM u UNION SELECT seed, dst FROM u JOIN b ON src = seed),
+n1 AS (SELECT seed, seed AS id FROM u UNION SELECT seed, dst FROM u JOIN b ON src = seed),
+n AS (SELECT seed, id FROM n1 UNION SELECT seed, dst FROM n1 JOIN b ON src = id),
 ent AS (SELECT question_id, e.id, e.name AS label, min(s) AS s FROM sd JOIN n ON n.seed = sd.entity_id JOIN e ON e.id = n.id GROUP BY ALL),
 rel AS (SELECT question_id, source_id, target_id, r.label, min(s) AS s FROM sd JOIN n x ON x.seed = sd.entity_id JOIN r ON r.source_id = x.id JOIN n y ON y.seed = x.seed AND y.id = r.target_id GROUP BY ALL)
 SELECT question_id, 'entity' AS kind, CAST(row_number() OVER (PARTITION BY question_id ORDER BY s, id) AS INTEGER) AS rank, id || ' ' || label AS item FROM ent QUALIFY rank <= 20
@@ -191,7 +193,7 @@ def local_retrieve_context(spark, d):
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     chunks = _vectors(spark, d).withColumnRenamed("id", "chunk_id").join(docs, "chunk_id", "left").withColumns({"def_name": F.lit(None).cast("string"), "chunk_index": F.lit(0)})
     asked = _questions(spark, d).withColumn("question", F.lit("what is near"))
-    e, r, t = retrieval.local_retrieve(asked, chunks, star.links(spark, d), star.entities(spark, d), _relationships(spark, d), replace(DEFAULT, hops=1))
+    e, r, t = retrieval.local_retrieve(asked, chunks, star.links(spark, d), star.entities(spark, d), _relationships(spark, d))
     row = lambda df, kind, item: df.select("question_id", F.lit(kind).alias("kind"), F.col("rank"), item.alias("item"))
     return (
         row(e, "entity", F.concat_ws(" ", "id", "name"))

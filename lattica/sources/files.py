@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import fnmatch
 import os
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -37,6 +38,17 @@ def under(path: Column, roots: Iterable[str]) -> Column:
     return out
 
 
+def indexable(path: Column, wanted: Iterable[str], patterns: Iterable[str]) -> Column:
+    """Whether a path has an allowed suffix and matches no pattern to ignore."""
+    return allowed(path, wanted) & ~ignored(path, patterns)
+
+
+def safe(files: DataFrame, roots: Iterable[str], wanted: Iterable[str] = ALLOWED_EXTENSIONS, max_bytes: int = DEFAULT.max_file_bytes) -> DataFrame:
+    """Those of ``files`` (path, length, is_link, is_file) that may be read: regular files, not links, below one of
+    ``roots``, of an allowed suffix and size."""
+    return files.filter(F.col("is_file") & ~F.col("is_link") & under(F.col("path"), roots) & allowed(F.col("path"), wanted) & (F.col("length") <= max_bytes))
+
+
 def ignored(path: Column, patterns: Iterable[str]) -> Column:
     """Whether a component of the path, or the whole path, matches a pattern; patterns with a slash match any stretch of it."""
     choices = []
@@ -107,11 +119,16 @@ def index_settings(data: dict) -> IndexSettings:
             raise ValueError("each of index_paths needs a path")
         if not isinstance(recursive := entry.get("recursive", True), bool):
             raise ValueError("recursive must be true or false, without quotes")
-        paths.append(IndexPath(os.path.abspath(os.path.expanduser(entry["path"])), recursive, frozenset(_strings(entry.get("exclude_dirs"), "exclude_dirs"))))
+        paths.append(IndexPath(normal(entry["path"]), recursive, frozenset(_strings(entry.get("exclude_dirs"), "exclude_dirs"))))
     suffixes = _strings(data.get("allowed_extensions"), "allowed_extensions")
     return IndexSettings(tuple(paths), extensions(suffixes) if suffixes else None, tuple(_strings(data.get("ignore_patterns"), "ignore_patterns")))
 
 
+def normal(path: str) -> str:
+    """A local path as absolute, without links and user's short form; one with a scheme as it is, without a slash at the end."""
+    return path.rstrip("/") if "://" in path else os.path.realpath(os.path.expanduser(path))
+
+
 def load_settings(path: str) -> IndexSettings:
     """Settings from a YAML file; needs a YAML parser."""
     import yaml
@@ -124,11 +141,28 @@ def load_settings(path: str) -> IndexSettings:
     return index_settings(data)
 
 
+def fallback_settings(root: str) -> IndexSettings:
+    """Settings for one folder and all below, where there is no configuration: nothing is ignored."""
+    return IndexSettings((IndexPath(normal(root)),))
+
+
+def _links(spark: SparkSession, root: str) -> list[str]:
+    """Local paths below ``root`` that are symbolic links, or lie behind one. Other file systems have none that Spark follows."""
+    if "://" in root and not root.startswith("file:"):
+        return []
+    top, found = root.removeprefix("file:"), []
+    top = "/" + top.lstrip("/")
+    for here, folders, names in os.walk(top):
+        found += [os.path.join(here, n) for n in [*folders, *names] if os.path.islink(os.path.join(here, n))]
+    return found
+
+
 def scan(spark: SparkSession, settings: IndexSettings, max_bytes: int = DEFAULT.max_file_bytes) -> DataFrame:
     """(filepath, length, sha256, content) of the files to index.
 
-    Spark lists and reads the roots; missing roots are skipped, symbolic links are not followed by name
-    and sizes above the limit are never read (the filter reaches the source).
+    Spark lists and reads the roots; missing roots are skipped, symbolic links and what lies behind them are left
+    out, and sizes above the limit are never read (the filter reaches the source). Roots may have a scheme;
+    local paths are given without one.
     """
     parts = []
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
@@ -138,9 +172,12 @@ def scan(spark: SparkSession, settings: IndexSettings, max_bytes: int = DEFAULT.
             continue
         files = spark.read.format("binaryFile").option("recursiveFileLookup", str(root.recursive).lower()).load(root.path)
         name = F.regexp_replace("path", "^file:/*", "/")
+        top = re.sub("^file:/*", "/", root.path)
         kept = files.filter(F.col("length") <= max_bytes).withColumn("filepath", name)
         kept = kept.filter(allowed(F.col("filepath"), settings.allowed_extensions or ALLOWED_EXTENSIONS))
-        below = F.substring("filepath", len(root.path) + 1, 1 << 20)
+        below = F.substring(F.regexp_replace("filepath", "^[a-z0-9]+://[^/]*", ""), len(re.sub("^[a-z0-9]+://[^/]*", "", top)) + 1, 1 << 20)
+        if links := _links(spark, root.path):
+            kept = kept.filter(~under(F.col("filepath"), links))
         if root.exclude_dirs:
             kept = kept.filter(~F.arrays_overlap(F.split(below, "/"), F.array(*(F.lit(d) for d in sorted(root.exclude_dirs)))))
         if settings.ignore_patterns:

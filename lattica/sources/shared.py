@@ -2,17 +2,32 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset, a default folder if there is one machine only."""
+    told = spark.conf.get("spark.checkpoint.dir", None)
+    if not told and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (told or "/tmp/checkpoints").rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a checkpoint in spark.checkpoint.dir; where that is unset, in a default
-    folder if there is one machine only."""
+    """``df`` with its lineage cut by a checkpoint in the shared folder."""
     spark: SparkSession = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        told = spark.conf.get("spark.checkpoint.dir", None)
-        if not told and context.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(told or "/tmp/checkpoints")
+        context.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read back: several branches of a plan then read one
+    copy, whose size is known and which the loss of an executor leaves alone."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/lattica/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

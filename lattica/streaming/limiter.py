@@ -66,6 +66,15 @@ def rate_limit_stream(requests: DataFrame, window_us: int, most: int) -> DataFra
     return requests.groupBy("key").applyInPandasWithState(fold, f"key {kind}, at bigint, id bigint, accepted boolean", "kept array<bigint>", "append", "ProcessingTimeTimeout")
 
 
+# Logins of one address and what may be asked of any one, in a window of so many seconds.
+LOGIN_WINDOW_SECONDS, LOGIN_MOST = 60, 10
+
+
+def login_limit(attempts: DataFrame) -> DataFrame:
+    """``rate_limit`` for attempts to log in, whose buckets are their own."""
+    return rate_limit(attempts, LOGIN_WINDOW_SECONDS * 1_000_000, LOGIN_MOST)
+
+
 def new_sessions(logins: DataFrame, hours: int) -> DataFrame:
     """``logins`` (token, username, at in seconds) with expires_at."""
     return logins.withColumn("expires_at", F.col("at") + hours * 3600)
@@ -89,5 +98,10 @@ def replace_user(users: DataFrame, sessions: DataFrame, username: str, password_
     return merged, sessions.filter(F.col("username") != username)
 
 
+def list_users(users: DataFrame) -> DataFrame:
+    """(username, created_at) by name."""
+    return users.select("username", "created_at").orderBy("username")
+
+
 def delete_user(users: DataFrame, sessions: DataFrame, username: str) -> tuple[DataFrame, DataFrame]:
     return users.filter(F.col("username") != username), sessions.filter(F.col("username") != username)

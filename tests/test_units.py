@@ -32,7 +32,7 @@ def test_route(spark):
 
 
 def test_none_and_json(spark):
-    assert values(spark, tx.nulls_for_none, ["[None, None, {}]", '{"a": None}', '"None"']) == ["[null, null, {}]", '{"a": null}', '"None"']
+    assert [tx.none_as_null(t) for t in ("[None, None, {}]", '{"a": None}', '"None"', "[ None\n]", "Nonesuch", "[None")] == ["[null, null, {}]", '{"a": null}', '"None"', "[ null\n]", "Nonesuch", "[None"]
     good = {"entities": [], "relationships": []}
     for text in ('{"entities": [], "relationships": []}', '{} {"entities": [], "relationships": []}', 'Sure: {"entities": [], "relationships": []} ok'):
         assert tx.recover_json(text) == good
@@ -78,7 +78,8 @@ def test_relationship_weights_and_gc(spark):
 def test_neighborhood_of_a_lone_node(spark):
     e = spark.createDataFrame([("a", "A", None, None), ("z", "Z", None, None)], "id string, name string, type string, description string")
     r = spark.createDataFrame([("a", "b", "l", "f", 1.0)], "source_id string, target_id string, label string, source_doc string, weight double")
-    got, rel = graph.neighborhoods(e, r, spark.createDataFrame([("z",), ("?",)], "seed string"), 2)
+    nodes = graph.k_hop(graph.simple_graph(r), spark.createDataFrame([("z",), ("?",)], "seed string"), 2)
+    got, rel = graph.neighborhoods(e, r, nodes)
     assert [(x.seed, x.id) for x in got.collect()] == [("z", "z")] and rel.count() == 0
 
 
@@ -215,8 +216,16 @@ def test_prompt_cap_and_plan(spark):
         retrieval.plan(routed, "other", hits)
 
 
-def test_commit(spark, tmp_path):
-    rows = spark.createDataFrame([("f", "x")], "filepath string, sha256 string")
-    for _ in range(2):
-        incremental.commit(spark, {"chunks": rows, "fingerprints": rows}, str(tmp_path))
-    assert spark.read.parquet(str(tmp_path / "fingerprints")).count() == 1
+def test_store(spark, tmp_path):
+    store = incremental.Store(spark, str(tmp_path), {"a": "x int", "b": "x int"})
+    assert store.read("a").count() == 0 and store.versions() == {}
+    for n in range(4):
+        store.commit({"a": store.read("a").union(spark.createDataFrame([(n,)], "x int")), **({"b": spark.range(3).selectExpr("cast(id as int) as x")} if n == 1 else {})})
+    assert sorted(r.x for r in store.read("a").collect()) == [0, 1, 2, 3] and store.read("b").count() == 3
+    assert len(list((tmp_path / "a").iterdir())) == 2 and len(list((tmp_path / "b").iterdir())) == 1 and len(store._pointers()) == 2
+    (tmp_path / "a" / "half-written").mkdir()  # a run that stopped before its pointer
+    assert store.read("a").count() == 4
+
+
+def test_white_space(spark):
+    assert values(spark, tx.stripped, ["\tFoo\n", "\u00a0x y\u2003", "", " \x1f\n"]) == ["Foo", "x y", "", ""]
