@@ -18,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import spared
+from lattica.llm.common import spared, stage, unstage
 
 #: Labelled rows that the model is fitted on at most: those whose hashed ids are least. The one bound on the input.
 SAMPLE_ROWS = 12_000
 BITS = 18
 #: Words whose features a worker remembers.
-CACHE_WORDS = 100_000
+CACHE_WORDS = 200_000
+#: Rows that a slot must be in to have a weight, and standard errors that its mean grade must be off.
+LEAST, SCREEN = 3, 3.0
 _RUN = re.compile(r"(.)\1+")
 _KEPT = str.maketrans({**{chr(c): "a" for c in range(97, 123)}, **{chr(c): "A" for c in range(65, 91)}, **{str(d): "0" for d in range(10)}})
 
@@ -85,7 +87,7 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -500, 500)))
 
 
-def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int, rounds: int = 200, decay: float = 3e-4, rate: float = 0.05, least: int = 3, screen: float = 3.0) -> Model:
+def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int, rounds: int = 200, decay: float = 3e-4, rate: float = 0.05, least: int = LEAST, screen: float = SCREEN) -> Model:
     """Penalised maximum likelihood by Adam over all ``rows`` (grade, slots, values).
 
     Slots in fewer than ``least`` rows, or whose rows' mean grade is within ``screen`` standard errors of
@@ -140,22 +142,42 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int, rounds: int
 def train(docs: DataFrame, grades: DataFrame, levels: int, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model from ``grades`` (``id_col``, grade 0 to levels - 1; null grades are left out).
 
-    The ``sample_rows`` graded ids with the least hash are used; their features, at most 2^BITS and a few
-    for each, go to the driver.
+    The ``sample_rows`` graded ids with the least hash are used, each once: with its least grade if it has several,
+    and of several texts the one whose features sort first. Slots are screened on the executors, by the rule of
+    ``fit``, so that the driver gets those that can have a weight: 2^BITS a row at most, and a few for each row
+    as a rule.
     """
-    chosen = grades.filter("grade is not null").select(id_col, "grade").orderBy(F.xxhash64(id_col), id_col).limit(sample_rows)
+    chosen = grades.filter("grade is not null").groupBy(id_col).agg(F.min("grade").cast("int").alias("grade")).orderBy(F.xxhash64(id_col), id_col).limit(sample_rows)
     texts = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select("grade", text_col, F.xxhash64(id_col).alias("h"))
+    fields = "grade int, h bigint, slots array<int>, values array<float>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Featuriser()
         for batch in batches:
-            made = [features(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), batch.column(2), pa.array([s.tobytes() for s, _ in made], pa.binary()), pa.array([v.tobytes() for _, v in made], pa.binary())], names=["grade", "h", "slots", "values"])
-
-    made = texts.mapInArrow(spared(run), "grade int, h bigint, slots binary, values binary").collect()  # sample_rows rows, or few more where ids repeat
-    made = [(r["h"], r["grade"], bytes(r["slots"]), bytes(r["values"])) for r in made]
-    made.sort(key=lambda r: r[:3])
-    return fit([(g, np.frombuffer(slots, np.int32), np.frombuffer(values, np.float32)) for _, g, slots, values in made], levels)
+            made = [features(t.as_py() or "") for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([s for s, _ in made], pa.list_(pa.int32())), pa.array([v for _, v in made], pa.list_(pa.float32()))], names=["grade", "h", "slots", "values"])
+
+    made = texts.mapInArrow(spared(run), fields).groupBy("h").agg(F.min(F.struct("grade", "slots", "values")).alias("r")).select("r.grade", "h", "r.slots", "r.values")
+    made = stage(made, "features")
+    n, mean, spread = made.agg(F.count("*"), F.avg("grade"), F.stddev_pop("grade")).first()
+    if not n:
+        return fit([], levels)
+    seen = made.select("grade", F.explode(F.array_distinct("slots")).alias("slot")).groupBy("slot").agg(F.count("*").alias("n"), F.avg("grade").alias("mean"))
+    telling = seen.filter((F.col("n") >= LEAST) & (F.abs(F.col("mean") - mean) > SCREEN * (1 - 1e-9) * spread / F.sqrt("n"))).select("slot")
+    slots = np.zeros(1 << BITS, bool)
+    slots[np.asarray(telling.toArrow()["slot"])] = True
+    told = docs.sparkSession.sparkContext.broadcast(slots)
+
+    def screened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(np.asarray(s.values, np.int32), np.asarray(v.values, np.float32)) for s, v in zip(batch.column(2), batch.column(3))]
+            rows = [(s[told.value[s]].tobytes(), v[told.value[s]].tobytes()) for s, v in rows]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, pa.binary()) for c in zip(*rows))], names=["grade", "h", "slots", "values"])
+
+    rows = made.mapInArrow(spared(screened), "grade int, h bigint, slots binary, values binary").collect()
+    unstage(made)
+    rows = sorted(rows, key=lambda r: r["h"])
+    return fit([(r["grade"], np.frombuffer(r["slots"], np.int32), np.frombuffer(r["values"], np.float32)) for r in rows], levels)
 
 
 def score_documents(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

@@ -209,6 +209,19 @@ def test_ordinal(spark, odd, empty):
     assert ordinal.grade_documents(odd, labels.filter("false")).filter("selected").count() == len(ODD)
 
 
+def test_ordinal_takes_each_label_once(spark):
+    """Repeated labels, and columns named like added ones, change nothing."""
+    rng = random.Random(31)
+    rows = [(i, words(rng, 40, 200) + (" vile" if i % 3 == 0 else " fine" if i % 3 == 1 else "")) for i in range(150)]
+    docs = spark.createDataFrame([(*r, "z", "z", "z") for r in rows], "doc_id long, text string, p_good string, selected string, tails string")
+    labels = [(i, int(i % 3 == 1), int(i % 3 == 0)) for i in range(150)]
+    one, two = (ordinal.grade_documents(d, spark.createDataFrame(some, "doc_id long, quality int, toxic int")) for d, some in ((docs.select("doc_id", "text"), labels), (docs.unionByName(docs), labels * 3)))
+    first = {r.doc_id: r.p_good for r in one.collect()}
+    again = two.collect()
+    assert len(again) == 300 and all(abs(first[r.doc_id] - r.p_good) < 1e-9 for r in again)
+    assert sum((r.p_good > 0.5) == (r.doc_id % 3 == 1) for r in again) > 280
+
+
 def test_ordinal_thresholds_are_ordered():
     rng = np.random.default_rng(0)
     m = ordinal.fit([(int(g), np.array([g, 9]), np.ones(2, np.float32)) for g in rng.integers(0, 4, 400)], 4)
@@ -338,6 +351,36 @@ def test_near_dedup_ignores_how_often_a_line_repeats(spark):
     assert len(set(want.values())) == 30 and got == want
 
 
+def test_near_dedup_finds_every_link_in_the_documents(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    sets = {i: set(simhash.shingle_hashes(t or "", 5)) for i, t in rows}
+    having, near = collections.defaultdict(list), collections.defaultdict(set)
+    for i, t in rows:
+        for h in sets[i] or {("no words", t or "")}:
+            having[h].append(i)
+    for group in having.values():
+        for i in group:
+            near[i].update(group)
+    alike = {i: {j for j in near[i] if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])} for i in sets}
+    want = {}
+    for i in sorted(sets):
+        if i not in want:
+            todo = [i]
+            while todo:
+                j = todo.pop()
+                if j not in want:
+                    want[j] = i
+                    todo += alike[j]
+    got = {r.doc_id: (r.group_id, r.kept) for r in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (g, i == g) for i, g in want.items()} and len(set(want.values())) < len(want) - 20
+
+
+def test_near_dedup_keeps_one_of_equal_rows(spark):
+    rows = [(1, "a b c d e f", "x"), (1, "a b c d e f", "x"), (1, "a b c d e f", "y"), (2, "a b c d e f", "x"), (None, "q", "x"), (None, "q", "x")]
+    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string, extra string")).collect()
+    assert len(got) == 6 and [r.group_id for r in got if r.kept and r.text != "q"] == [1] and sum(r.kept for r in got) == 2
+
+
 # --- 10
 
 def brute_removed(texts, length):

@@ -40,6 +40,28 @@ def test_stages_in_turn(spark, tmp_path):
     assert kept["near"] == kept["repeats"] == kept["pack"]
 
 
+def test_stages_on_odd_tables(spark):
+    """Nulls in any column, empty and blank texts, repeated rows, clashing names, no rows: no stage fails, and rows stay as stated."""
+    names = "doc_id long, text string, lang string, source string, n_chars long, group_id string, kept string, p_good string, d1 string, node string, row string, text_sha256 string"
+    rows = [(1, "a b c", "en", "s", 3), (None, None, None, None, None), (2, "", "en", None, 0), (3, "   ", None, "s", 3), (1, "a b c", "en", "s", 3), (4, "long é " * 30_000, "de", "s", None), (4, None, "de", "s", None)]
+    docs = spark.createDataFrame([(*r, *["z"] * 7) for r in rows], names)
+    want = {"quality": 7, "exact": 4, "near": 4, "repeats": 4}  # texts: a b c, none (null and empty), blank, long; texts without words are near themselves alone
+    for table in (docs, docs.filter("false")):
+        now = table
+        for name, function in corpus_pipeline.STAGES:
+            made = function(spark, now, SMALL)
+            now = spark.createDataFrame(made.collect(), made.schema)
+            if name != "pack":
+                assert now.columns == docs.columns
+                if name == "quality":  # whatever the classifier says, the next stages get all rows
+                    assert now.count() <= table.count()
+                    now = table
+                else:
+                    assert now.count() == (want[name] if table is docs else 0)
+            else:
+                assert now.filter("start = 0").count() == (4 if table is docs else 0)
+
+
 def test_repeats_cuts_passages_of_short_words(spark):
     rng = random.Random(4)
     short = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(1, 4))) for _ in range(n))
