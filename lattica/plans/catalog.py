@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.config import DEFAULT
+from lattica import models
+from lattica.functions import network
 from lattica.functions import text as tx
 from lattica.functions.vector import cosine_topk, right_size
-from lattica.operators import chat, chunking, community, extraction, graph, incremental, retrieval
+from lattica.operators import chat, chunking, community, extraction, generation, graph, incremental, indexing, retrieval
 from lattica.plans import star
 from lattica.plans.star import SQL as STAR
 from lattica.plans.star import read
 from lattica.sources import files
-from lattica.sources.shared import staged
+from lattica.sources.shared import shared_dir, staged
 from lattica.streaming import limiter
 
 QUERIES: dict = {}
@@ -94,25 +97,27 @@ def undirected_view(spark, d):
 
 
 _HOPS = STAR + """, b AS (SELECT source_id AS src, target_id AS dst FROM r UNION SELECT target_id, source_id FROM r),
-h AS (SELECT s AS seed, s AS id, 0 AS hop FROM (VALUES ('supplier_0'), ('supplier_1'), ('region_2')) v(s)
+h AS (SELECT s AS seed, s AS id, 0 AS hop FROM (SELECT 'supplier_' || s_suppkey AS s FROM supplier WHERE s_suppkey % 20 = 0 UNION ALL SELECT 'region_' || r_regionkey FROM region WHERE r_regionkey % 20 = 0)
       UNION SELECT h.seed, b.dst, h.hop + 1 FROM h JOIN b ON h.id = b.src WHERE h.hop < 2),
 n AS (SELECT seed, id, min(hop) AS hop FROM h GROUP BY ALL)
 """
 
 
-def _seeds(spark):
-    return spark.createDataFrame([("supplier_0",), ("supplier_1",), ("region_2",)], "seed string")
+def _seeds(spark, d):
+    """The stated query set: suppliers and regions whose key is divisible by 20."""
+    own = read(spark, d, "supplier").filter("s_suppkey % 20 = 0").selectExpr("concat('supplier_', s_suppkey) as seed")
+    return own.union(read(spark, d, "region").filter("r_regionkey % 20 = 0").selectExpr("concat('region_', r_regionkey) as seed"))
 
 
 @query(_HOPS + "SELECT * FROM n")
 def k_hop_neighborhood(spark, d):
-    return graph.k_hop(staged(graph.simple_graph(_relationships(spark, d)), "edges"), _seeds(spark), 2)
+    return graph.k_hop(staged(graph.simple_graph(_relationships(spark, d)), "edges"), _seeds(spark, d), 2)
 
 
 @query(_HOPS + "SELECT x.seed, r.source_id, r.target_id, r.label, r.weight FROM r JOIN n x ON x.id = source_id JOIN n y ON y.id = target_id AND x.seed = y.seed")
 def induced_relationships(spark, d):
     rel = staged(_relationships(spark, d), "relationships")
-    return graph.induced(rel, graph.k_hop(graph.simple_graph(rel), _seeds(spark), 2)).select("seed", "source_id", "target_id", "label", "weight")
+    return graph.induced(rel, graph.k_hop(graph.simple_graph(rel), _seeds(spark, d), 2)).select("seed", "source_id", "target_id", "label", "weight")
 
 
 @query(STAR + "SELECT id, name, type, description FROM e WHERE community = 2")
@@ -321,17 +326,45 @@ def extraction_relationships(spark, d):
     return extraction.normal_relationships(parsed, extraction.normal_entities(parsed))
 
 
-_NAMES = "('the'), ('Here'), ('thing'), ('of'), ('und'), ('que')"
-
-
+_LINES = "l AS (SELECT doc_id, i, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents))"
 _EDGE = r"[^\p{L}\p{N}_]"
 
 
-@query(rf"""SELECT doc_id AS chunk_id, lower(n) AS entity_id FROM documents JOIN (VALUES {_NAMES}) v(n) ON length(n) >= 3 AND regexp_matches(text, '(?i)(^|{_EDGE})' || n || '({_EDGE}|$)')""")
+@query(rf"""WITH {_LINES}, n AS (SELECT DISTINCT doc_id, regexp_extract(line, '^([A-Za-z]{{3,}})', 1) AS name FROM l)
+SELECT DISTINCT doc_id || ':' || i AS chunk_id, lower(name) AS entity_id FROM l JOIN n USING (doc_id) WHERE name <> '' AND regexp_matches(line, '(?i)(^|{_EDGE})' || name || '({_EDGE}|$)')""")
 def entity_chunk_linking(spark, d):
-    docs = read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.lit("all").alias("filepath"), "text")
-    names = spark.createDataFrame([(n,) for n in ("the", "Here", "thing", "of", "und", "que")], "name string")
-    return extraction.link_chunks(docs, F.broadcast(names.select(F.lit("all").alias("filepath"), F.lower("name").alias("id"), "name")))
+    """Lines as chunks of their document; its entities are the words its lines begin with."""
+    lines = read(spark, d, "documents").select(F.col("doc_id").alias("filepath"), F.posexplode(F.split("text", "\n")).alias("i", "text"))
+    chunks = lines.select(F.concat_ws(":", "filepath", F.col("i") + 1).alias("chunk_id"), "filepath", "text")
+    names = lines.select("filepath", F.regexp_extract("text", "^([A-Za-z]{3,})", 1).alias("name")).filter("name <> ''").distinct()
+    return extraction.link_chunks(chunks, names.select("filepath", F.lower("name").alias("id"), "name"))
+
+
+@query("""WITH a AS (SELECT conv_id, turn, role FROM conversations WHERE turn % 2 = 0), b AS (SELECT DISTINCT conv_id, turn, role FROM conversations)
+SELECT CAST(conv_id AS VARCHAR) || '/' || turn AS chunk_id, role AS entity_id FROM a UNION ALL
+SELECT CAST(conv_id AS VARCHAR) || '/' || turn, role FROM b WHERE (conv_id, turn, role) NOT IN (SELECT conv_id, turn, role FROM a)""")
+def link_insert_or_ignore(spark, d):
+    rows = read(spark, d, "conversations").select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("chunk_id"), F.col("role").alias("entity_id"), "turn")
+    return extraction.link_append(rows.filter("turn % 2 = 0").drop("turn"), rows.drop("turn").unionByName(rows.drop("turn")))
+
+
+def _prompt(lead: str) -> str:
+    return "'" + lead.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+@query(f"SELECT CAST(conv_id AS VARCHAR) AS filepath, CAST(turn AS INTEGER) AS batch_index, {_prompt(extraction.EXTRACTION_PROMPT)} || text AS prompt FROM conversations")
+def extraction_prompts(spark, d):
+    batches = _lines(spark, d).withColumnRenamed("chunk_index", "batch_index")
+    return extraction.extraction_prompts(batches).select("filepath", "batch_index", "prompt")
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS filepath, count(*) AS batches, max(event_id) AS last FROM events WHERE event_type <> 'error' AND user_id % 3 <> 0 GROUP BY 1""")
+def extraction_cache(spark, d):
+    """Answers put in (later ones of a batch win), those of some files cleared, and read as a map by file."""
+    e = read(spark, d, "events").filter("event_type <> 'error'").select(F.col("user_id").cast("string").alias("filepath"), F.lit("h").alias("sha256"), F.col("event_id").cast("int").alias("batch_index"), F.col("event_type").alias("result"), "user_id")
+    cache = extraction.cache_put(e.drop("user_id"), e.drop("user_id").filter("batch_index % 2 = 0"))
+    kept = extraction.cache_clear(cache, e.filter("user_id % 3 = 0").select("filepath").distinct())
+    return extraction.cached_answers(kept).select("filepath", F.size("answers").cast("long").alias("batches"), F.array_max(F.map_keys("answers")).cast("long").alias("last"))
 
 
 @query()
@@ -351,14 +384,14 @@ def chunk_python(spark, d):
     return chunking.chunk_documents(_files(spark, d).select(F.regexp_replace("filepath", "txt$", "py").alias("filepath"), body.alias("text")))
 
 
-@query(r"""WITH x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM (SELECT doc_id, regexp_replace(text, '\n', chr(10) || '## ', 'g') AS text FROM documents)),
-s AS (SELECT doc_id, i, sum(CASE WHEN i > 1 AND regexp_matches(line, '^#{1,6} ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS section FROM x)
-SELECT doc_id, CAST(section AS BIGINT) AS section, count(*) AS lines FROM s GROUP BY ALL""")
+@query(r"""WITH x AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM (SELECT doc_id, regexp_replace(text, '\s+', chr(10) || '## ', 'g') AS t FROM documents WHERE length(text) > 0)),
+s AS (SELECT doc_id, i, line, sum(CASE WHEN i > 1 AND regexp_matches(line, '^#{1,6} ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS section FROM x),
+t AS (SELECT doc_id, section, trim(string_agg(line, chr(10) ORDER BY i)) AS chunk FROM s GROUP BY ALL)
+SELECT doc_id || '.md' AS filepath, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY section) - 1 AS INTEGER) AS chunk_index, chunk AS text FROM t WHERE chunk <> ''""")
 def markdown_sections(spark, d):
-    docs = read(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.regexp_replace("text", "\n", "\n## "), "\n")).alias("i", "line"))
-    head = ((F.col("i") > 0) & F.col("line").rlike("^#{1,6} ")).cast("long")
-    section = F.sum(head).over(Window.partitionBy("doc_id").orderBy("i"))
-    return docs.withColumn("section", section).groupBy("doc_id", "section").agg(F.count("*").alias("lines"))
+    """The chunker on documents whose words are all headed: as no section is too long, its chunks are the sections."""
+    docs = read(spark, d, "documents").filter("length(text) > 0").select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("filepath"), F.regexp_replace("text", "[\\t\\n\\f\\r ]+", "\n## ").alias("text"))
+    return chunking.chunk_documents(docs, replace(DEFAULT, max_chunk_chars=1_000_000)).select("filepath", "chunk_index", "text")
 
 
 @query()
@@ -373,6 +406,77 @@ def community_summaries(spark, d):
     return community.refresh_summaries(star.entities(spark, d), _relationships(spark, d), known, community.extractive_summary)
 
 
+@query(STAR + f""", m AS (SELECT community, string_agg('- ' || name || ' (' || coalesce(type, 'unknown') || '): ' || coalesce(description, ''), chr(10) ORDER BY id) AS lines FROM e WHERE community IS NOT NULL GROUP BY 1),
+i AS (SELECT x.community, string_agg('- ' || source_id || ' --[' || label || ']--> ' || target_id, chr(10) ORDER BY source_id, target_id, label) AS edges FROM r JOIN e x ON x.id = source_id JOIN e y ON y.id = target_id AND x.community = y.community GROUP BY 1)
+SELECT m.community AS id, {_prompt(community.SUMMARY_PROMPT)} || lines || coalesce(chr(10) || chr(10) || 'Connections:' || chr(10) || edges, '') AS prompt FROM m LEFT JOIN i USING (community)""")
+def summary_prompts(spark, d):
+    e = star.entities(spark, d)
+    return community.summary_prompts(e, _relationships(spark, d), community.active_communities(e))
+
+
+@query(STAR + """, c AS (SELECT CAST(label AS INTEGER) AS id, list_sort(list('"v' || vec_id || '"')) AS ids FROM embeddings GROUP BY 1)
+SELECT id, len(ids) AS members, id IN (SELECT community FROM e WHERE community IS NOT NULL) AS active FROM c""")
+def community_lookup(spark, d):
+    """Communities with their members read from JSON, and whether any entity is in them."""
+    held = read(spark, d, "embeddings").groupBy(F.col("label").cast("int").alias("id")).agg(F.to_json(F.array_sort(F.collect_list(F.concat(F.lit("v"), F.col("vec_id").cast("string"))))).alias("entity_ids"))
+    active = community.active_communities(star.entities(spark, d)).withColumn("active", F.lit(True))
+    return community.with_members(held).join(active, "id", "left").select("id", F.size("entity_ids").cast("long").alias("members"), F.coalesce("active", F.lit(False)).alias("active"))
+
+
+@query()
+def community_summaries_by_model(spark, d):
+    """Summaries by the offline model, with their vectors and status."""
+    known = spark.createDataFrame([], indexing.SCHEMAS["communities"])
+    return community.summarise_all(star.entities(spark, d), staged(_relationships(spark, d), "relationships"), known, models.OfflineModel(), models.HashingEmbedder(64))
+
+
+@query("""SELECT source || '/' || doc_id || '.txt' AS filepath, CASE WHEN regexp_full_match(coalesce(text, ''), '\\s*') THEN 'skipped' ELSE 'indexed' END AS outcome FROM documents""".replace("\\\\", "\\"))
+def index_run(spark, d):
+    """A whole index run into an empty store, with the offline models: what became of each file."""
+    store = indexing.open_store(spark, f"{shared_dir(spark)}/lattica/store-{uuid.uuid4().hex}")
+    return indexing.index(store, _files(spark, d).select("filepath", "sha256", F.coalesce("text", F.lit("")).alias("text")), models.HashingEmbedder(64), models.OfflineModel())
+
+
+@query("""SELECT conv_id, max(turn) AS turn, CASE WHEN arg_max(text, turn) = '' THEN NULL ELSE arg_max(text, turn) END AS answer FROM (SELECT conv_id, turn, regexp_replace(regexp_extract('q' || chr(10) || chr(10) || replace(text, chr(10), ' '), '[^\\n]*$'), '^\\s+|\\s+$', '', 'g') AS text FROM conversations WHERE role = 'user') GROUP BY 1""".replace("\\\\", "\\"))
+def ask_offline(spark, d):
+    """The last user turn of each conversation, answered by the offline model (which gives back the last paragraph)."""
+    last = read(spark, d, "conversations").filter("role = 'user'").groupBy("conv_id").agg(F.max("turn").alias("turn"), F.max_by("text", "turn").alias("text"))
+    prompts = last.select(F.struct("conv_id", "turn").alias("question_id"), F.concat(F.lit("q\n\n"), F.translate("text", "\n", " ")).alias("prompt"))
+    return generation.ask(prompts, models.OfflineModel()).select("question_id.conv_id", "question_id.turn", F.nullif("answer", F.lit("")).alias("answer"))
+
+
+@query("""SELECT page_id, regexp_full_match(url, '.*[^/]\\.(html?|php|txt)') AND NOT coalesce(regexp_matches(url, '(^|/)en(/|$)'), false) AS ok FROM pages""".replace("\\\\", "\\"))
+def indexable_path(spark, d):
+    p = read(spark, d, "pages")
+    return p.select("page_id", files.indexable(F.col("url"), ["html", "htm", "php", "txt"], ["en"]).alias("ok"))
+
+
+@query("""SELECT page_id FROM pages WHERE page_id % 7 <> 0 AND page_id % 5 <> 0 AND starts_with(url, 'http://') AND strlen(html) <= 4000 AND regexp_matches(lower(url), '[^/]\\.[^./]+$') AND regexp_extract(lower(url), '[^/](\\.[^./]+)$', 1) IN ('.html', '.com', '.org', '.net', '.example')""".replace("\\\\", "\\"))
+def safe_file_predicate(spark, d):
+    """Pages as a listing: every seventh stands for a symbolic link, every fifth for no regular file."""
+    p = read(spark, d, "pages")
+    listing = p.select("page_id", F.col("url").alias("path"), F.octet_length("html").alias("length"), (F.col("page_id") % 7 == 0).alias("is_link"), (F.col("page_id") % 5 != 0).alias("is_file"))
+    return files.safe(listing, ["http:/"], ["html", "com", "org", "net", "example"], 4000).select("page_id")
+
+
+@query("""SELECT event_id, CASE WHEN user_id % 2 = 0 AND event_id % 3 <> 0 THEN '10.' || event_id % 200 || '.0.7' ELSE '192.0.2.' || user_id % 200 END AS address,
+  CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_type || event_id END AS token FROM events""")
+def request_scalars(spark, d):
+    """Clients' addresses behind proxies of which some are trusted, and their tokens."""
+    e = read(spark, d, "events")
+    n = lambda c, k: (F.col(c) % k).cast("string")
+    peer = F.concat(F.lit("192.0.2."), n("user_id", 200))
+    header = F.when(F.col("event_id") % 3 == 0, "unknown, 1.1.1.1").otherwise(F.concat(F.lit(" 10."), n("event_id", 200), F.lit(".0.7, 1.1.1.1")))
+    rows = e.select("event_id", "user_id", peer.alias("peer"), header.alias("header"), F.when(F.col("event_id") % 4 == 0, F.lit("Basic x")).otherwise(F.concat(F.lit("Bearer "), "event_type", F.col("event_id").cast("string"))).alias("auth"))
+    trusted = [f"192.0.2.{k}" for k in range(0, 200, 2)]
+    return rows.select("event_id", network.client_address(F.col("peer"), F.col("header"), trusted).alias("address"), network.bearer_token(F.col("auth")).alias("token"))
+
+
+@query("""SELECT DISTINCT event_type AS model, '{"id":' || to_json(event_type) || ',"object":"model","owned_by":"local"}' AS body FROM events""")
+def model_list_entries(spark, d):
+    return chat.model_entries(read(spark, d, "events").select(F.col("event_type").alias("model")).distinct())
+
+
 _DAY = 86_400_000_000
 
 
@@ -387,6 +491,23 @@ def rate_limit_sliding_window(spark, d):
     return limiter.rate_limit(requests, _DAY, 3)
 
 
+@query("""WITH RECURSIVE q AS (SELECT user_id // 15 AS key, epoch_us(ts) // 1000 AS t, event_id AS id, row_number() OVER (PARTITION BY user_id // 15 ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM events),
+s AS (SELECT key, t, id, n, true AS accepted, [t] AS kept FROM q WHERE n = 1
+  UNION ALL SELECT key, t, id, n, len(live) < 10, CASE WHEN len(live) < 10 THEN list_append(live, t) ELSE live END
+  FROM (SELECT q.*, list_filter(s.kept, lambda x: q.t - x < 60000000) AS live FROM s JOIN q ON q.key = s.key AND q.n = s.n + 1))
+SELECT key, t AS "at", id, accepted FROM s""")
+def rate_limit_logins(spark, d):
+    """Attempts of groups of users, on a clock that runs a thousand times as fast."""
+    e = read(spark, d, "events")
+    return limiter.login_limit(e.select(F.expr("user_id div 15").alias("key"), F.expr("unix_micros(cast(ts as timestamp)) div 1000").alias("at"), F.col("event_id").alias("id")))
+
+
+@query("SELECT c_name AS username, CAST(min(o_orderkey) AS DOUBLE) AS created_at FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+def user_list(spark, d):
+    o = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderkey").cast("double").alias("created_at"))
+    return limiter.list_users(read(spark, d, "customer").join(o, "c_custkey").select(F.col("c_name").alias("username"), "created_at"))
+
+
 _SESSIONS = "WITH s AS (SELECT event_id AS token, 'Customer#' || lpad(CAST(user_id AS VARCHAR), 9, '0') AS username, epoch(ts) + 8 * 3600 AS expires_at FROM events WHERE event_type = 'signup')"
 _NOW = 1705276800.0
 
