@@ -19,6 +19,8 @@ from lattica.llm.sharding import prefix_sums
 MARKS = r"^((?:[ \t]{0,3}>)+)[ \t]?"
 INTRODUCTION = r"(?i)^.{0,200}\b(wrote|schrieb|écrit|escribió)[^\n]{0,80}:\s*$"
 _WHOLE, _PARAGRAPH, _LINE = 3, 2, 1
+#: Conversations whose names may be broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def _norm(text: Column) -> Column:
@@ -67,6 +69,9 @@ def quote_links(parsed: DataFrame) -> DataFrame:
     quoting message in the same conversation; origin is null where none did."""
     cut = stage(passages(parsed), "passages")
     said = cut.filter("level = 0").select("conv", "turn", "text").unionByName(parsed.select("conv", "turn", F.col("own").alias("text")))
+    quoting = stage(cut.filter("level > 0").select(F.col("conv").alias("of")).distinct(), "quoting")  # others need no list
+    some = F.broadcast(quoting) if quoting.count() <= BROADCAST_ROWS else quoting
+    said = said.join(some, F.col("conv").eqNullSafe(F.col("of")), "left_semi")
     first = units(said).groupBy("conv", "hash").agg(F.min("turn").alias("origin"))
     quoted = units(cut.filter("level > 0"))
     q, f = quoted.alias("q"), first.alias("f")
@@ -119,7 +124,7 @@ def reply_order(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
         F.coalesce("c.quoted", F.lit(0)).alias("quoted"), F.coalesce("c.linked", F.lit(0)).alias("linked"), F.lit(1).cast("long").alias("one"),
     )
     placed = stage(prefix_sums(joined, ["conv", "thread", "turn"], "one"), "placed")
-    start = placed.groupBy("conv").agg(F.min("rows_before").alias("start")).withColumnRenamed("conv", "of")
+    start = stage(placed.groupBy("conv").agg(F.min("rows_before").alias("start")).withColumnRenamed("conv", "of"), "starts")  # staged, so that Spark can split a hot conversation
     out = placed.join(start, F.col("conv").eqNullSafe(F.col("of"))).withColumn("position", F.col("rows_before") - F.col("start"))
     text = F.when(~F.col("none"), F.col("own"))
     pick = {conv_col: F.col("conv"), text_col: text}

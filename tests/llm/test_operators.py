@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -633,6 +634,66 @@ def test_seatings_at_a_point():
 
 # --- 1
 
+def plain_conversation(rows):
+    """{turn: (text, parent, thread, depth, quoted, linked)} of one conversation's (turn, text), message by message."""
+    norm = lambda t: re.sub(r"\s+", " ", t).strip(" ").lower()
+    mark, intro = re.compile(quotes.MARKS), re.compile(quotes.INTRODUCTION)
+    said, seen, out = {}, {}, {}
+
+    def units(text):
+        return {(g, norm(t)) for g, parts in ((3, [text]), (2, re.split(r"\n\s*\n", text)), (1, text.split("\n"))) for t in parts if norm(t)}
+
+    for turn, text in sorted(rows):
+        lines = [((m.group(1).count(">"), x[m.end() :]) if (m := mark.match(x)) else (0, x)) for x in re.split("\r\n|\n|\r", text or "")]
+        runs = [(level, "\n".join(t for _, t in g)) for level, g in ((k, list(g)) for k, g in itertools.groupby(lines, key=lambda x: x[0]))]
+        own = [t for i, (level, t) in enumerate(lines) if level == 0 and not (intro.match(t) and i + 1 < len(lines) and lines[i + 1][0] > 0)]
+        has = any(level for level, _ in lines)
+        own = re.sub(r"\n{3,}", "\n\n", "\n".join(own)).strip(" ") if has else "\n".join(t for _, t in lines)
+        seen[turn], said[turn] = [(level, units(t)) for level, t in runs if level and units(t)], set().union(units(own), *(units(t) for level, t in runs if not level))
+        out[turn] = own if text is not None else None
+    first = {}
+    for turn in sorted(said):
+        for _, t in said[turn]:
+            first.setdefault(t, turn)
+    result = {}
+    for turn in sorted(seen):
+        found = []
+        for level, us in seen[turn]:
+            best = max(((g, len(t), -first[t]) for g, t in us if first.get(t, turn) < turn), default=None)
+            found.append((-level, -best[2]) if best else None)
+        parent = max((f for f in found if f), default=(None, None))[1]
+        thread, depth = (result[parent][2], result[parent][3] + 1) if parent is not None else (turn, 0)
+        result[turn] = (out[turn], parent, thread, depth, len(found), sum(f is not None for f in found))
+    return result
+
+
+def test_quotes_against_brute_force(spark):
+    rng = random.Random(17)
+    rows = []
+    for c in range(25):
+        texts = []
+        for turn in range(12):
+            body = [words(rng, rng.randrange(1, 7), 60) for _ in range(rng.randrange(1, 4))]
+            text = rng.choice(["\n", "\n\n"]).join(body)
+            if texts and rng.random() < 0.7:
+                of = rng.choice(texts)
+                part = rng.choice([of, rng.choice(of.split("\n\n")), rng.choice(of.split("\n")), "never said " + str(rng.random())])
+                quoted = "\n".join(rng.choice(["> ", ">", " > "]) + x for x in part.upper().split("\n"))
+                lead = rng.choice(["", "Anna wrote:\n", "note\n"])
+                text = rng.choice([f"{lead}{quoted}\n{text}", f"{text}\n{lead}{quoted}"])
+            texts.append(text)
+            rows.append((c, turn, text))
+    got = {(r.conv_id, r.turn): r for r in quotes.reply_order(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()}
+    for c in range(25):
+        want = plain_conversation([(t, x) for k, t, x in rows if k == c])
+        order = sorted(want, key=lambda t: (want[t][2], t))
+        for t, w in want.items():
+            r = got[c, t]
+            assert (r.parent, r.thread, r.depth, r.quoted, r.linked, r.position) == (*w[1:], order.index(t)), (c, t)
+            assert r.text == w[0], (c, t)
+    assert sum(r.linked > 0 for r in got.values()) > 50 and max(r.depth for r in got.values()) > 2
+
+
 def test_quotes(spark):
     m = [
         ("c", 0, "u", "Hello all,\nwhat about lunch?\n\nSecond paragraph  here"), ("c", 1, "a", "Other topic\nfully different"),
