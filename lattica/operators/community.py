@@ -15,6 +15,10 @@ from lattica.operators.graph import community_relationships, components, member_
 from lattica.sources.shared import checkpointed
 
 
+#: Edges of a graph that is solved in one task a component, and rounds of moves before a larger one is made coarser.
+LOCAL_EDGES, ROUNDS = 2_000_000, 8
+
+
 def louvain_local(edges: list[tuple[str, str, float]], total: float, least_gain: float = 1e-7) -> dict[str, str]:
     """Node -> least node of its community. ``total``: the whole graph's edge weight, which sets the resolution.
 
@@ -69,16 +73,53 @@ def louvain_local(edges: list[tuple[str, str, float]], total: float, least_gain:
         members, near, loops = merged, new_near, new_loops
 
 
-def louvain(edges: DataFrame) -> DataFrame:
+def coarsened(edges: DataFrame, total: float, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """(id, least) and the edges between communities after ``rounds`` of local moves of all nodes at once.
+
+    In a round the half of the nodes that a hash picks move, each to the neighbouring community of the largest
+    gain, given the communities' totals: joins and sums by node and by community, whatever a node's degree. A
+    community goes by its least node, so that edges between communities are edges of the same form.
+    """
+    edges = checkpointed(edges)
+    both = edges.filter("src <> dst").unionByName(edges.filter("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    ends = both.select(F.col("src").alias("id"), "weight").unionByName(edges.filter("src = dst").select(F.col("src").alias("id"), (2 * F.col("weight")).alias("weight")))
+    home = checkpointed(ends.groupBy("id").agg(F.sum("weight").alias("degree")).withColumn("c", F.col("id")))
+    for r in range(rounds):
+        sums = home.groupBy("c").agg(F.sum("degree").alias("sum"))
+        turn = F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 0
+        near = both.join(home.select(F.col("id").alias("dst"), F.col("c").alias("to")), "dst").groupBy(F.col("src").alias("id"), "to").agg(F.sum("weight").alias("w"))
+        near = near.join(home.filter(turn), "id").join(sums.withColumnRenamed("c", "to"), "to")
+        own = F.col("to") == F.col("c")
+        gain = F.col("w") - (F.col("sum") - F.when(own, F.col("degree")).otherwise(0.0)) * F.col("degree") / (2 * total)
+        stay = F.when(own, F.col("gain"))
+        best = near.withColumn("gain", gain).groupBy("id").agg(F.max(F.struct("gain", F.col("to"))).alias("best"), F.max(stay).alias("stay"), F.first("c").alias("c"), F.first("degree").alias("degree"))
+        moves = best.filter(F.col("best.gain") > F.coalesce("stay", F.lit(0.0)) + 1e-7).select("id", F.col("best.to").alias("new"))
+        home = checkpointed(home.join(moves, "id", "left").select("id", "degree", F.coalesce("new", "c").alias("c")))
+    names = home.groupBy("c").agg(F.min("id").alias("least"))
+    member = checkpointed(home.join(names, "c").select("id", "least"))
+    of = lambda end, out: member.select(F.col("id").alias(end), F.col("least").alias(out))
+    joined = edges.join(of("src", "a"), "src").join(of("dst", "b"), "dst")
+    return member, checkpointed(joined.groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.sum("weight").alias("weight")))
+
+
+def louvain(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(id, community) for every node of the undirected ``edges`` (src, dst, weight); communities numbered from 0
     by their least member.
 
-    Moves never leave a connected component, so each is solved on its own with the whole graph's weight. One
-    component is one task: its edges must fit a Python worker.
+    Moves never leave a connected component, so each is solved on its own with the whole graph's weight, in one
+    task, where the graph has at most ``local_edges`` edges. A larger one is first coarsened by rounds of moves
+    over all tasks, until it is that small or no longer shrinks by a tenth.
     """
     total = edges.agg(F.sum("weight")).first()[0]
     if not total:
         return edges.sparkSession.createDataFrame([], "id string, community int")
+    members, size = None, edges.count()
+    while size > local_edges:
+        found, edges = coarsened(edges, total)
+        members = found if members is None else checkpointed(members.join(found.select(F.col("id").alias("least"), F.col("least").alias("up")), "least").select("id", F.col("up").alias("least")))
+        before, size = size, edges.count()
+        if size > 0.9 * before:
+            break
     part = edges.join(components(edges).withColumnRenamed("id", "src"), "src").select("component", "src", "dst", "weight")
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
@@ -86,6 +127,8 @@ def louvain(edges: DataFrame) -> DataFrame:
         return pd.DataFrame({"id": list(found), "least": list(found.values())})
 
     found = part.groupBy("component").applyInPandas(solve, "id string, least string")
+    if members is not None:
+        found = members.withColumnRenamed("least", "of").join(found.withColumnRenamed("id", "of"), "of").select("id", "least")
     found = checkpointed(found)
     dealt = checkpointed(found.select("least").distinct().repartitionByRange("least").withColumn("part", F.spark_partition_id()))
     counts = dealt.groupBy("part").agg(F.count("*").alias("n"))  # one row a partition

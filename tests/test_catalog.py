@@ -40,3 +40,17 @@ def test_louvain_beats_components(spark):
     whole = graph.components(edges).withColumnRenamed("component", "community")
     assert community.modularity(edges, found) >= community.modularity(edges, whole) > -1
     assert found.join(whole.withColumnRenamed("community", "c"), "id").groupBy("community").agg({"c": "count"}).count() == found.select("community").distinct().count()
+
+
+def test_coarsened_louvain_is_about_as_good(spark):
+    """With room for a few edges only, the graph is made coarser first: nodes stay, and modularity nearly does."""
+    from lattica.operators import community, graph
+
+    edges = graph.undirected(graph.simple_graph(catalog._relationships(spark, SMALL).filter("source_doc <> 'lineitem'")))
+    cliques = [(f"{g}{a}", f"{g}{b}", 1.0) for g in range(12) for a in range(6) for b in range(a + 1, 6)] + [(f"{g}0", f"{(g + 1) % 12}1", 1.0) for g in range(12)]
+    for e in (edges, spark.createDataFrame(cliques, "src string, dst string, weight double")):
+        whole, coarse = community.louvain(e).cache(), community.louvain(e, local_edges=60).cache()
+        assert coarse.count() == whole.count() == coarse.select("id").distinct().count()
+        assert community.modularity(e, coarse) > 0.9 * community.modularity(e, whole)
+        numbers = sorted(r.community for r in coarse.select("community").distinct().collect())
+        assert numbers == list(range(len(numbers)))
