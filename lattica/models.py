@@ -61,6 +61,14 @@ class ServedModel:
         yield from generation.streamed(generation.retried(lambda: self.lines(generation.request(self.name, prompt, stream=True)), self.retries, self.pause))
 
 
+def model_names(fetch: Callable[[], dict], default: str) -> list[str]:
+    """The served models' names from what ``fetch`` gives ({"models": [{"name": ...}]}); the default alone on any failure."""
+    try:
+        return [str(m["name"]) for m in fetch()["models"]] or [default]
+    except Exception:
+        return [default]
+
+
 class OfflineModel:
     """Answers without a server: in JSON, the names that a text has (capitalised words and identifiers) and which
     stand in one line; else the prompt's last paragraph."""

@@ -229,3 +229,81 @@ def test_store(spark, tmp_path):
 
 def test_white_space(spark):
     assert values(spark, tx.stripped, ["\tFoo\n", "\u00a0x y\u2003", "", " \x1f\n"]) == ["Foo", "x y", "", ""]
+
+
+def test_chat_items(spark):
+    """Content as items: texts joined, all values counted, and the first check that fails message by message."""
+    rows = [("a", 0, "user", None, [{"type": "text", "text": "hi"}, {"type": "x"}, {"type": "text", "text": "you"}]), ("a", 1, "user", "plain", None), ("b", 0, "user", None, [{"t": "1"}] * 3)]
+    m = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string, items array<map<string,string>>")
+    got = m.select("conv_id", "turn", chat.flat_content(F.col("text"), F.col("items")).alias("t"), chat.message_size(F.col("text"), F.col("items")).alias("n")).collect()
+    assert [(r.t, r.n) for r in got] == [("hi  you", 14), ("plain", 5), ("  ", 3)]
+    tight = replace(DEFAULT, max_content_items=2, max_message_chars=13, max_total_chars=20, max_question_chars=13)
+    assert {tuple(r) for r in chat.first_errors(m, tight, has_items=True).collect()} == {("a", "message", 0), ("b", "items", 0)}
+    fields = spark.createDataFrame([("u", "p"), ("", "p"), ("u" * 129, "p"), (None, "p")], "username string, password string")
+    assert [r.valid for r in chat.login_fields(fields).collect()] == [True, False, False, False]
+
+
+def test_server_sent_events(spark):
+    import json
+
+    pieces = spark.createDataFrame([("c", 0, "He\"l"), ("c", 1, "lo\n")], "conv_id string, seq long, piece string")
+    lines = [r.line for r in chat.stream_chunks(pieces, "m").orderBy("seq").collect()] + [r.line for r in chat.stream_end(pieces.select("conv_id").distinct(), "m").collect()]
+    events = [e for line in lines for e in line.split("\n\n") if e]
+    assert all(e.startswith("data: ") for e in events) and events[-1] == "data: [DONE]"
+    bodies = [json.loads(e[6:]) for e in events[:-1]]
+    assert "".join(b["choices"][0]["delta"].get("content", "") for b in bodies) == 'He"llo\n' and bodies[-1]["choices"][0]["finish_reason"] == "stop"
+    assert all(b["object"] == "chat.completion.chunk" and b["model"] == "m" for b in bodies)
+
+
+def test_prompts(spark):
+    asked = spark.createDataFrame([("q", "What is A?"), ("p", "And?")], "question_id string, question string")
+    e = spark.createDataFrame([("q", 1, "a", "A", "T", "first"), ("q", 2, "b", "B", None, None)], "question_id string, rank int, id string, name string, type string, description string")
+    r = spark.createDataFrame([("q", 1, "a", "b", "calls", 1.0), ("q", 2, "a", "z", "uses", 1.0)], "question_id string, rank int, source_id string, target_id string, label string, weight double")
+    t = spark.createDataFrame([("q", 1, "one"), ("q", 2, "two")], "question_id string, rank int, text string")
+    got = {x.question_id: x.prompt for x in retrieval.local_prompts(asked, e, r, t).collect()}
+    assert got["q"] == "Known entities:\n- A (T): first\n- B (unknown): \n\nRelations:\n- A --[calls]--> B\n- A --[uses]--> z\n\nPassages:\none\n\ntwo\n\nQuestion: What is A?"
+    assert got["p"] == "Known entities:\n(none)\n\nRelations:\n(none)\n\nPassages:\n(none)\n\nQuestion: And?"
+    hits = spark.createDataFrame([("q", 7, "seven", 2), ("q", 3, "three", 1)], "question_id string, id int, summary string, rank int")
+    assert [x.prompt for x in retrieval.global_prompts(asked, hits).collect()] == ["Community 3:\nthree\n\nCommunity 7:\nseven\n\nQuestion: What is A?"]
+
+
+def test_seeds_that_a_capped_answer_needs(spark):
+    """Behind a seed whose neighbourhood fills both caps no other seed counts; those before it do."""
+    seeds = spark.createDataFrame([("q", s, k + 1) for k, s in enumerate("abc")] + [("p", "a", 1), ("p", "d", 2)], "question_id string, entity_id string, seed_rank int")
+    nodes = spark.createDataFrame([("a", "a")] + [("b", f"n{k}") for k in range(41)] + [("c", "c"), ("d", "d")], "seed string, id string")
+    entities = spark.createDataFrame([(f"n{k}",) for k in range(20)] + [("a",)], "id string")
+    got = {(r.question_id, r.entity_id) for r in retrieval.needed_seeds(seeds, nodes, entities).collect()}
+    assert got == {("q", "a"), ("q", "b"), ("p", "a"), ("p", "d")}
+
+
+def test_assigned_communities(spark):
+    e = spark.createDataFrame([("a", 1), ("b", 2)], "id string, community int")
+    got = {r.id: r.community for r in community.assign(e, spark.createDataFrame([("a", 5)], "id string, community int")).collect()}
+    assert got == {"a": 5, "b": None}
+
+
+def test_best_rows_keep_the_order_of_equal_ones():
+    import numpy as np
+
+    from lattica.functions.vector import best_rows
+
+    rng = np.random.default_rng(3)
+    for n, k in ((1, 3), (7, 3), (40, 5)):
+        scores = rng.integers(0, 6, (n, 9)).astype(float)
+        scores[rng.random(scores.shape) < 0.1] = np.nan
+        row, column = best_rows(scores, k)
+        for c in range(9):
+            want = sorted((i for i in range(n) if scores[i, c] == scores[i, c]), key=lambda i: (-scores[i, c], i))[:k]
+            assert sorted(row[column == c].tolist()) == sorted(want)
+
+
+def test_vectors_beyond_a_broadcast(spark, monkeypatch):
+    from lattica.functions import vector
+
+    rows = [(i, [float(i % 7), float(i % 5), 1.0]) for i in range(300)]
+    base = spark.createDataFrame(rows, "id long, vector array<double>")
+    asked = base.filter("id % 20 = 0").withColumnRenamed("id", "question_id")
+    first = {tuple(r) for r in vector.cosine_topk(asked, base, 4).collect()}
+    monkeypatch.setattr(vector, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(vector, "BLOCK", 4)
+    assert {tuple(r) for r in vector.cosine_topk(asked, base, 4).collect()} == first and len(first) == 60
