@@ -169,6 +169,34 @@ def test_packing(spark, odd, empty):
 
 # --- 6
 
+def test_prefix_hashes_against_whole_numbers():
+    """Span hashes by plain integers, common extensions by comparing, and likeness by the true share of spans."""
+    rng = random.Random(41)
+    text = "".join(rng.choice("abé😀 ") for _ in range(700))
+    p = prefix_hash.Prefix(text)
+    for _ in range(200):
+        a = rng.randrange(701)
+        b = rng.randrange(a, 701)
+        want = [sum((ord(c) + 1) * pow(base, i, prefix_hash.PRIME) for i, c in enumerate(text[a:b])) % prefix_hash.PRIME for base in prefix_hash.BASES]
+        assert int(p.hash(a, b)[0]) == want[0] << 31 | want[1]
+    other = text[:300] + "#" + text[300:]
+    q = prefix_hash.Prefix(other)
+    for _ in range(200):
+        i, j = rng.randrange(701), rng.randrange(702)
+        n = 0
+        while i + n < 700 and j + n < 701 and text[i + n] == other[j + n]:
+            n += 1
+        assert p.extension(i, q, j) == n
+    errors = []
+    for _ in range(60):
+        one = words(rng, 300, 3000)
+        two = one[: rng.randrange(len(one))] + words(rng, rng.randrange(1, 300), 3000)
+        spans = [{t[i : i + prefix_hash.SPAN] for i in range(len(t) - prefix_hash.SPAN + 1)} for t in (one, two)]
+        share = 2 * len(spans[0] & spans[1]) / (len(spans[0]) + len(spans[1]))
+        errors.append(prefix_hash.likeness(prefix_hash._Read(one).mark, prefix_hash._Read(two).mark) - share)
+    assert abs(np.mean(errors)) < 0.04 and np.abs(errors).mean() < 0.09 and np.abs(errors).max() < 0.3
+
+
 def test_prefix_hash(spark, odd, empty):
     rng = random.Random(4)
     a, b = prefix_hash.Prefix("xx" + "abcabc" * 50 + "z"), prefix_hash.Prefix("abcabc" * 50 + "y")
