@@ -42,7 +42,8 @@ def needed_seeds(seeds: DataFrame, nodes: DataFrame, entities: DataFrame, config
     """Those of ``seeds`` whose neighbourhoods can reach a question's capped result.
 
     Results come seed by seed. A neighbourhood of n nodes is connected, so it has n - 1 relationships at least:
-    behind a seed that alone fills both caps no other counts. ``nodes``: (seed, id).
+    behind a seed that alone fills both caps no other counts. ``nodes``: (seed, id) of the neighbourhoods, or of
+    smaller ones inside them.
     """
     known = nodes.join(entities.select("id").withColumn("known", F.lit(1)), "id", "left")
     size = known.groupBy(F.col("seed").alias("entity_id")).agg(F.count("*").alias("n"), F.sum(F.coalesce("known", F.lit(0))).alias("known"))
@@ -74,9 +75,10 @@ def local_retrieve(questions: DataFrame, chunks: DataFrame, links: DataFrame, en
     near = cosine_topk(questions, chunks.select(F.col("chunk_id").alias("id"), "vector"), config.retrieval_k)
     near, relationships = staged(near, "near"), staged(relationships, "relationships")  # read by several branches
     seeds = staged(seed_entities(near, links), "seeds")
-    nodes = staged(k_hop(simple_graph(relationships), seeds.select(F.col("entity_id").alias("seed")).distinct(), config.hops).select("seed", "id"), "nodes")
-    seeds = staged(needed_seeds(seeds, nodes, entities, config), "needed")
-    nodes = nodes.join(seeds.select(F.col("entity_id").alias("seed")).distinct(), "seed", "left_semi")
+    edges = staged(simple_graph(relationships), "edges")
+    of = lambda rows: rows.select(F.col("entity_id").alias("seed")).distinct()
+    seeds = staged(needed_seeds(seeds, k_hop(edges, of(seeds), min(1, config.hops)), entities, config), "needed")  # told by the first hop
+    nodes = staged(k_hop(edges, of(seeds), config.hops).select("seed", "id"), "nodes")
     e, r = merge_neighborhoods(seeds, neighborhoods(entities, relationships, nodes), config)
     hits = near.join(chunks.select(F.col("chunk_id").alias("id"), "text"), "id").select("question_id", "rank", "text")
     return e, r, context_texts(hits, definition_lookup(questions, chunks, config))

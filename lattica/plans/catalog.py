@@ -327,11 +327,11 @@ def extraction_relationships(spark, d):
 
 
 _LINES = "l AS (SELECT doc_id, i, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents))"
-_EDGE = r"[^\p{L}\p{N}_]"
 
 
-@query(rf"""WITH {_LINES}, n AS (SELECT DISTINCT doc_id, regexp_extract(line, '^([A-Za-z]{{3,}})', 1) AS name FROM l)
-SELECT DISTINCT doc_id || ':' || i AS chunk_id, lower(name) AS entity_id FROM l JOIN n USING (doc_id) WHERE name <> '' AND regexp_matches(line, '(?i)(^|{_EDGE})' || name || '({_EDGE}|$)')""")
+@query(rf"""WITH {_LINES}, n AS (SELECT DISTINCT doc_id, regexp_extract(line, '^([A-Za-z]{{3,}})', 1) AS name FROM l),
+w AS (SELECT doc_id, i, regexp_extract_all(lower(line), '[\p{{L}}\p{{N}}_]+') AS words FROM l)
+SELECT DISTINCT doc_id || ':' || i AS chunk_id, lower(name) AS entity_id FROM w JOIN n USING (doc_id) WHERE name <> '' AND list_contains(words, lower(name))""")
 def entity_chunk_linking(spark, d):
     """Lines as chunks of their document; its entities are the words its lines begin with."""
     lines = read(spark, d, "documents").select(F.col("doc_id").alias("filepath"), F.posexplode(F.split("text", "\n")).alias("i", "text"))
