@@ -78,9 +78,20 @@ def k_hop(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
 
 
 def induced(relationships: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(seed and the columns of ``relationships``): those with both ends among a seed's nodes (``nodes``: seed, id)."""
-    head = relationships.join(nodes.select("seed", F.col("id").alias("source_id")), "source_id")
-    return head.join(nodes.select("seed", F.col("id").alias("target_id")), ["seed", "target_id"], "left_semi").select("seed", *relationships.columns)
+    """(seed and the columns of ``relationships``): those with both ends among a seed's nodes (``nodes``: seed, id).
+
+    A relationship is dealt to the seeds of that end of it which fewer seeds have, and then held against the other
+    end: a node that all seeds share (a hub) does not list its relationships once a seed. ``nodes`` is read
+    several times.
+    """
+    of = nodes.select("seed", "id")
+    held = of.groupBy("id").agg(F.count("*").alias("_held"))
+    end = lambda name: held.select(F.col("id").alias(f"{name}_id"), F.col("_held").alias(f"_{name}"))
+    both = relationships.join(end("source"), "source_id").join(end("target"), "target_id")
+    fewer = F.col("_source") <= F.col("_target")
+    both = both.withColumns({"_rare": F.when(fewer, F.col("source_id")).otherwise(F.col("target_id")), "_other": F.when(fewer, F.col("target_id")).otherwise(F.col("source_id"))})
+    head = both.join(of.withColumnRenamed("id", "_rare"), "_rare")
+    return head.join(of.withColumnRenamed("id", "_other"), ["seed", "_other"], "left_semi").select("seed", *relationships.columns)
 
 
 def neighborhoods(entities: DataFrame, relationships: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -117,7 +117,9 @@ def k_hop_neighborhood(spark, d):
 @query(_HOPS + "SELECT x.seed, r.source_id, r.target_id, r.label, r.weight FROM r JOIN n x ON x.id = source_id JOIN n y ON y.id = target_id AND x.seed = y.seed")
 def induced_relationships(spark, d):
     rel = staged(_relationships(spark, d), "relationships")
-    return graph.induced(rel, graph.k_hop(graph.simple_graph(rel), _seeds(spark, d), 2)).select("seed", "source_id", "target_id", "label", "weight")
+    pairs = rel.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"))
+    nodes = staged(graph.k_hop(pairs, _seeds(spark, d), 2).select("seed", "id"), "nodes")
+    return graph.induced(rel, nodes).select("seed", "source_id", "target_id", "label", "weight")
 
 
 @query(STAR + "SELECT id, name, type, description FROM e WHERE community = 2")

@@ -307,3 +307,34 @@ def test_vectors_beyond_a_broadcast(spark, monkeypatch):
     monkeypatch.setattr(vector, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(vector, "BLOCK", 4)
     assert {tuple(r) for r in vector.cosine_topk(asked, base, 4).collect()} == first and len(first) == 60
+
+
+def most_rows(df):
+    """The rows of ``df``, and the most rows that any step of its plan gave."""
+    rows = df.collect()
+
+    def most(node):
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return most(node.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return most(node.plan())
+        found = node.metrics().get("numOutputRows")
+        children = node.children()
+        return max([found.get().value() if found.isDefined() else 0, *(most(children.apply(i)) for i in range(children.size()))])
+
+    return rows, most(df._jdf.queryExecution().executedPlan())
+
+
+def test_induced_does_not_list_a_hub_once_a_seed(spark):
+    """100 seeds share a hub with 2,000 relationships (either way round) and have three of its neighbours each."""
+    rel = [("hub", f"n{i}", "x", 1.0, "d") if i % 2 else (f"n{i}", "hub", "x", 1.0, "d") for i in range(2000)] + [("hub", "hub", "self", 2.0, "d"), ("n1", "n2", "y", 1.0, "d")]
+    nodes = [(f"s{s}", n) for s in range(100) for n in ("hub", f"n{s}", f"n{s + 1}", f"n{s + 200}")]
+    of = {}
+    for s, n in nodes:
+        of.setdefault(s, set()).add(n)
+    want = {(s, *r) for s, own in of.items() for r in rel if r[0] in own and r[1] in own}
+    r = spark.createDataFrame(rel, "source_id string, target_id string, label string, weight double, source_doc string")
+    rows, most = most_rows(graph.induced(r, spark.createDataFrame(nodes, "seed string, id string")))
+    assert len(rows) == len(want) and {tuple(x) for x in rows} == want
+    assert most <= 2 * len(rel)
