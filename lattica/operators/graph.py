@@ -69,7 +69,7 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 def k_hop(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """(seed, id, hop): nodes within ``hops`` of each seed (``seeds``: seed), in either direction, at their least distance."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))  # repeats go with those of the nodes
     seen = seeds.select("seed", F.col("seed").alias("id"), F.lit(0).alias("hop")).distinct()
     for hop in range(1, hops + 1):
         edge = seen.filter(F.col("hop") == hop - 1).join(both, F.col("id") == F.col("src")).select("seed", F.col("dst").alias("id"), F.lit(hop).alias("hop"))

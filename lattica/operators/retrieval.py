@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lattica.config import DEFAULT, EngineConfig
 from lattica.functions.text import heuristic_route, identifiers, stripped
 from lattica.functions.vector import cosine_topk
-from lattica.operators.graph import k_hop, neighborhoods, simple_graph
+from lattica.operators.graph import k_hop, neighborhoods
 from lattica.sources.shared import staged
 
 
@@ -38,17 +38,26 @@ def seed_entities(hits: DataFrame, links: DataFrame) -> DataFrame:
     return found.select("question_id", "entity_id", F.row_number().over(Window.partitionBy("question_id").orderBy("hit", "entity_id")).alias("seed_rank"))
 
 
-def needed_seeds(seeds: DataFrame, nodes: DataFrame, entities: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
+def needed_seeds(seeds: DataFrame, nodes: DataFrame, entities: DataFrame, config: EngineConfig = DEFAULT, edges: DataFrame | None = None) -> DataFrame:
     """Those of ``seeds`` whose neighbourhoods can reach a question's capped result.
 
     Results come seed by seed. A neighbourhood of n nodes is connected, so it has n - 1 relationships at least:
     behind a seed that alone fills both caps no other counts. ``nodes``: (seed, id) of the neighbourhoods, or of
-    smaller ones inside them.
+    smaller ones inside them. With ``edges`` (src, dst), all neighbours of ``nodes`` are in the neighbourhoods too:
+    one node with many is enough.
     """
-    known = nodes.join(entities.select("id").withColumn("known", F.lit(1)), "id", "left")
+    of_id = entities.select("id").withColumn("known", F.lit(1))
+    known = nodes.join(of_id, "id", "left")
     size = known.groupBy(F.col("seed").alias("entity_id")).agg(F.count("*").alias("n"), F.sum(F.coalesce("known", F.lit(0))).alias("known"))
     full = (F.col("n") - 1 >= config.max_relationships) & (F.col("known") >= config.max_entities)
-    last = F.min(F.when(full, F.col("seed_rank"))).over(Window.partitionBy("question_id"))
+    size = size.select("entity_id", full.alias("full"))
+    if edges is not None:
+        both = edges.select(F.col("src").alias("id"), F.col("dst").alias("to")).unionByName(edges.select(F.col("dst").alias("id"), F.col("src").alias("to"))).filter("id <> to")
+        near = both.join(nodes.select("id").distinct(), "id", "left_semi").distinct().join(of_id.withColumnRenamed("id", "to"), "to", "left")
+        wide = near.groupBy("id").agg(F.count("*").alias("n"), F.sum(F.coalesce("known", F.lit(0))).alias("known")).filter((F.col("n") >= config.max_relationships) & (F.col("known") >= config.max_entities))
+        size = size.unionByName(nodes.join(wide.select("id"), "id", "left_semi").select(F.col("seed").alias("entity_id"), F.lit(True).alias("full")))
+        size = size.groupBy("entity_id").agg(F.bool_or("full").alias("full"))
+    last = F.min(F.when(F.col("full"), F.col("seed_rank"))).over(Window.partitionBy("question_id"))
     rows = seeds.join(size, "entity_id", "left").withColumn("last", last)
     return rows.filter(F.col("last").isNull() | (F.col("seed_rank") <= F.col("last"))).select(*seeds.columns)
 
@@ -57,9 +66,12 @@ def merge_neighborhoods(seeds: DataFrame, around: tuple[DataFrame, DataFrame], c
     """Entities (question_id, rank, id, ...) and relationships of each question's seeds, first seen first, capped.
 
     Order is the contract here: entities by (seed rank, id), relationships by (seed rank, source, target,
-    label, document); relationships of other documents with the same ends and label count once.
+    label, document); relationships of other documents with the same ends and label count once. Of one seed only
+    the first can be in a result, as many as its cap: those before them that earlier seeds have fill it as well.
     """
     entities, relationships = around
+    first = lambda rows, key, most: rows.withColumn("_nth", F.dense_rank().over(Window.partitionBy("seed").orderBy(*key))).filter(F.col("_nth") <= most).drop("_nth")
+    entities, relationships = first(entities, ["id"], config.max_entities), first(relationships, ["source_id", "target_id", "label"], config.max_relationships)
     of = seeds.select("question_id", F.col("entity_id").alias("seed"), "seed_rank")
     e = entities.join(of, "seed").groupBy("question_id", "id").agg(F.min("seed_rank").alias("s"), F.first("name").alias("name"), F.first("type").alias("type"), F.first("description").alias("description"))
     e = e.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy("s", "id"))).filter(F.col("rank") <= config.max_entities).drop("s")
@@ -75,9 +87,10 @@ def local_retrieve(questions: DataFrame, chunks: DataFrame, links: DataFrame, en
     near = cosine_topk(questions, chunks.select(F.col("chunk_id").alias("id"), "vector"), config.retrieval_k)
     near, relationships = staged(near, "near"), staged(relationships, "relationships")  # read by several branches
     seeds = staged(seed_entities(near, links), "seeds")
-    edges = staged(simple_graph(relationships), "edges")
+    edges = relationships.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"))
     of = lambda rows: rows.select(F.col("entity_id").alias("seed")).distinct()
-    seeds = staged(needed_seeds(seeds, k_hop(edges, of(seeds), min(1, config.hops)), entities, config), "needed")  # told by the first hop
+    around = staged(k_hop(edges, of(seeds), min(1, config.hops)).select("seed", "id"), "around")  # needed seeds are told by the first hop, and what hangs on it
+    seeds = staged(needed_seeds(seeds, around, entities, config, edges if config.hops > 1 else None), "needed")
     nodes = staged(k_hop(edges, of(seeds), config.hops).select("seed", "id"), "nodes")
     e, r = merge_neighborhoods(seeds, neighborhoods(entities, relationships, nodes), config)
     hits = near.join(chunks.select(F.col("chunk_id").alias("id"), "text"), "id").select("question_id", "rank", "text")

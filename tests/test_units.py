@@ -338,3 +338,29 @@ def test_induced_does_not_list_a_hub_once_a_seed(spark):
     rows, most = most_rows(graph.induced(r, spark.createDataFrame(nodes, "seed string, id string")))
     assert len(rows) == len(want) and {tuple(x) for x in rows} == want
     assert most <= 2 * len(rel)
+
+
+def test_seeds_are_needed_up_to_one_whose_neighbour_has_many(spark):
+    """A seed with one neighbour, which has 40 more: its two hops fill both caps, which the first hop does not tell."""
+    edges = [("a", "hub"), ("b", "x"), ("c", "y")] + [("hub", f"n{k}") for k in range(40)] + [("x", f"n{k}") for k in range(30)]
+    e = spark.createDataFrame(edges, "src string, dst string")
+    entities = spark.createDataFrame([(f"n{k}",) for k in range(20)], "id string")
+    seeds = spark.createDataFrame([("q", "b", 1), ("q", "a", 2), ("q", "c", 3), ("p", "b", 1), ("p", "c", 2)], "question_id string, entity_id string, seed_rank int")
+    nodes = graph.k_hop(e, seeds.select(F.col("entity_id").alias("seed")).distinct(), 1)
+    got = {(r.question_id, r.entity_id) for r in retrieval.needed_seeds(seeds, nodes, entities, edges=e).collect()}
+    assert got == {("q", "b"), ("q", "a"), ("p", "b"), ("p", "c")}
+
+
+def test_merged_neighborhoods_meet_few_rows_a_seed(spark):
+    """50 questions share two seeds of 500 overlapping relationships: only the first of a seed are listed for a question."""
+    seeds = spark.createDataFrame([(f"q{k}", s, r) for k in range(50) for r, s in enumerate(("b", "a")[:: 1 if k % 2 else -1], 1)], "question_id string, entity_id string, seed_rank int")
+    of = {"a": range(0, 500), "b": range(20, 520)}
+    name = lambda i: f"n{i:03}"
+    e = spark.createDataFrame([(s, name(i), "N", "T", "D") for s in of for i in of[s]], "seed string, id string, name string, type string, description string")
+    r = spark.createDataFrame([(s, name(i), name(i + 1), "l", 1.0, doc) for s in of for i in of[s] for doc in "xy"], "seed string, source_id string, target_id string, label string, weight double, source_doc string")
+    entities, relationships = retrieval.merge_neighborhoods(seeds, (e, r))
+    rows, most = most_rows(relationships)
+    first = {True: range(20, 60), False: range(40)}
+    assert {(x.question_id, x["rank"], x.source_id) for x in rows} == {(f"q{k}", n, name(i)) for k in range(50) for n, i in enumerate(first[k % 2 == 1], 1)}
+    assert most <= 50 * 2 * 40 * 2
+    assert {(x.question_id, x["rank"], x.id) for x in entities.collect()} == {(f"q{k}", n, name(i)) for k in range(50) for n, i in enumerate(list(first[k % 2 == 1])[:20], 1)}
