@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,11 +15,13 @@ from lattica.functions.text import stripped
 from lattica.models import with_embeddings
 from lattica.operators.generation import complete
 from lattica.operators.graph import community_relationships, components, member_hashes
-from lattica.sources.shared import checkpointed
+from lattica.sources.shared import checkpointed, staged
 
 
 #: Edges of a graph that is solved in one task a component, and rounds of moves before a larger one is made coarser.
 LOCAL_EDGES, ROUNDS = 2_000_000, 8
+#: Nodes whose communities are told to all tasks (12 bytes each), and ends of edges of a part of the graph that is packed.
+TOLD_NODES, PART_ENDS = 4_000_000, 2_000_000
 
 
 def louvain_local(edges: list[tuple[str, str, float]], total: float, least_gain: float = 1e-7) -> dict[str, str]:
@@ -78,9 +83,12 @@ def coarsened(edges: DataFrame, total: float, rounds: int = ROUNDS) -> tuple[Dat
 
     In a round the half of the nodes that a hash picks move, each to the neighbouring community of the largest
     gain, given the communities' totals: joins and sums by node and by community, whatever a node's degree. A
-    community goes by its least node, so that edges between communities are edges of the same form.
+    community goes by its least node, so that edges between communities are edges of the same form. ``edges`` are
+    read several times.
     """
-    edges = checkpointed(edges)
+    found = told_rounds(edges, total, rounds)
+    if found is not None:
+        return found
     both = edges.filter("src <> dst").unionByName(edges.filter("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     ends = both.select(F.col("src").alias("id"), "weight").unionByName(edges.filter("src = dst").select(F.col("src").alias("id"), (2 * F.col("weight")).alias("weight")))
     home = checkpointed(ends.groupBy("id").agg(F.sum("weight").alias("degree")).withColumn("c", F.col("id")))
@@ -102,6 +110,109 @@ def coarsened(edges: DataFrame, total: float, rounds: int = ROUNDS) -> tuple[Dat
     return member, checkpointed(joined.groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.sum("weight").alias("weight")))
 
 
+def numbered(ids: DataFrame, name: str) -> DataFrame:
+    """(``name``, n): the distinct values of the only column of ``ids`` numbered from 0 in their order, over all tasks."""
+    dealt = staged(ids.toDF(name).distinct().repartitionByRange(name).withColumn("part", F.spark_partition_id()), "dealt")
+    counts = dealt.groupBy("part").agg(F.count("*").alias("n"))  # one row a partition
+    before = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    nth = F.row_number().over(Window.partitionBy("part").orderBy(name))
+    return dealt.join(F.broadcast(before), "part").select(name, (F.col("before") + nth - 1).alias("n"))
+
+
+def _packed(ends: DataFrame) -> DataFrame:
+    """One row a part: its nodes, their degrees, how many neighbours they have, these and the edges' weights, from
+    ``ends`` (part, a, b, weight); loops count twice in the degree, and are left out."""
+
+    def run(group: pa.Table) -> pa.Table:
+        a, b, w = (np.asarray(group[c]) for c in ("a", "b", "weight"))
+        order = np.lexsort((b, a))
+        a, b, w = a[order], b[order], w[order]
+        nodes, at = np.unique(a, return_inverse=True)
+        loop = a == b
+        degree = np.bincount(at, np.where(loop, 2 * w, w), len(nodes))
+        size = np.bincount(at[~loop], minlength=len(nodes))
+        cols = (nodes.astype(np.int32), degree, size.astype(np.int32), b[~loop].astype(np.int32), w[~loop])
+        return pa.table({n: pa.array([c.tobytes()], pa.binary()) for n, c in zip(("nodes", "degree", "size", "near", "weight"), cols)})
+
+    return ends.groupBy("part").applyInArrow(run, "nodes binary, degree binary, size binary, near binary, weight binary")
+
+
+def _moves(nodes: np.ndarray, degree: np.ndarray, size: np.ndarray, near: np.ndarray, weight: np.ndarray, home: np.ndarray, sums: np.ndarray, total: float, r: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of a part that move in round ``r``, and the communities that they move to."""
+    mixed = (nodes.astype(np.uint64) + np.uint64(1 + (r << 32))) * np.uint64(0x9E3779B97F4A7C15)
+    turn = ((mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185) >> np.uint64(40)) & np.uint64(1) == 0
+    ends = np.repeat(turn, size)
+    key = np.repeat(np.arange(len(nodes)), size)[ends] * len(home) + home[near[ends]]
+    if not len(key):
+        return nodes[:0], nodes[:0]
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    to_weight = np.add.reduceat(weight[ends][order], first)
+    at, to = key[first] // len(home), key[first] % len(home)
+    own = to == home[nodes[at]]
+    gain = to_weight - (sums[to] - np.where(own, degree[at], 0)) * degree[at] / (2 * total)
+    stay = -(sums[home[nodes]] - degree) * degree / (2 * total)
+    stay[at[own]] = gain[own]
+    order = np.lexsort((to, gain, at))
+    best = order[np.r_[at[order][1:] != at[order][:-1], True]]
+    best = best[gain[best] > stay[at[best]] + 1e-7]
+    return nodes[at[best]], to[best].astype(np.int32)
+
+
+def told_rounds(edges: DataFrame, total: float, rounds: int) -> tuple[DataFrame, DataFrame] | None:
+    """As ``coarsened``, on numbered nodes and packed neighbours, which are shuffled once; a round tells all tasks the
+    nodes' communities, and the driver which nodes move. None for more than TOLD_NODES nodes."""
+    spark = edges.sparkSession
+    number = staged(numbered(edges.select("src").union(edges.select("dst")), "id"), "numbers")
+    n = number.count()
+    if n > TOLD_NODES:
+        return None
+    of = lambda end, out: number.select(F.col("id").alias(end), F.col("n").cast("int").alias(out))
+    pairs = staged(edges.join(of("src", "a"), "src").join(of("dst", "b"), "dst").select("a", "b", "weight"), "pairs")
+    parts = max(1, -(-2 * pairs.count() // PART_ENDS))
+    ends = pairs.unionByName(pairs.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
+    graph = staged(_packed(ends.withColumn("part", F.col("a") % parts)).repartition(parts), "graph")
+    home, degree = np.arange(n, dtype=np.int32), np.zeros(n)
+    for row in graph.select("nodes", "degree").toLocalIterator():
+        degree[np.frombuffer(row["nodes"], np.int32)] = np.frombuffer(row["degree"])
+    for r in range(rounds):
+        told = spark.sparkContext.broadcast((home, np.bincount(home, degree, n)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    cols = [np.frombuffer(batch.column(c)[k].as_py(), kind) for c, kind in enumerate((np.int32, float, np.int32, np.int32, float))]
+                    found = _moves(*cols, *told.value, total, r)  # noqa: B023
+                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in found], names=["nodes", "new"])
+
+        moves = graph.mapInArrow(run, "nodes binary, new binary").collect()  # 8 bytes a node at most
+        told.destroy()
+        home = home.copy()
+        for row in moves:
+            home[np.frombuffer(row["nodes"], np.int32)] = np.frombuffer(row["new"], np.int32)
+        if not any(row["nodes"] for row in moves):
+            break
+    names = np.full(n, n, np.int32)
+    np.minimum.at(names, home, np.arange(n, dtype=np.int32))
+    told = spark.sparkContext.broadcast(names[home])
+
+    def member(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(told.value[np.asarray(batch.column(1))].astype(np.int64))], names=["id", "n"])
+
+    def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (told.value[np.asarray(batch.column(c))] for c in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), batch.column(2)], names=["a", "b", "weight"])
+
+    least = number.select("n", F.col("id").alias("least"))
+    members = checkpointed(number.mapInArrow(member, f"id {number.schema['id'].dataType.simpleString()}, n bigint").join(least, "n").select("id", "least"))
+    joined = staged(pairs.mapInArrow(between, "a int, b int, weight double").groupBy("a", "b").agg(F.sum("weight").alias("weight")), "joined")
+    name = lambda end, out: number.select(F.col("n").cast("int").alias(end), F.col("id").alias(out))
+    return members, checkpointed(joined.join(name("a", "src"), "a").join(name("b", "dst"), "b").select("src", "dst", "weight"))
+
+
 def louvain(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(id, community) for every node of the undirected ``edges`` (src, dst, weight); communities numbered from 0
     by their least member.
@@ -110,6 +221,7 @@ def louvain(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     task, where the graph has at most ``local_edges`` edges. A larger one is first coarsened by rounds of moves
     over all tasks, until it is that small or no longer shrinks by a tenth.
     """
+    edges = staged(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")), "edges")  # read by several jobs
     total = edges.agg(F.sum("weight")).first()[0]
     if not total:
         return edges.sparkSession.createDataFrame([], "id string, community int")
@@ -130,11 +242,7 @@ def louvain(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     if members is not None:
         found = members.withColumnRenamed("least", "of").join(found.withColumnRenamed("id", "of"), "of").select("id", "least")
     found = checkpointed(found)
-    dealt = checkpointed(found.select("least").distinct().repartitionByRange("least").withColumn("part", F.spark_partition_id()))
-    counts = dealt.groupBy("part").agg(F.count("*").alias("n"))  # one row a partition
-    before = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    nth = F.row_number().over(Window.partitionBy("part").orderBy("least"))
-    order = dealt.join(F.broadcast(before), "part").select("least", (F.col("before") + nth - 1).alias("community"))
+    order = numbered(found.select("least"), "least").withColumnRenamed("n", "community")
     return found.join(order, "least").select("id", F.col("community").cast("int").alias("community"))
 
 
