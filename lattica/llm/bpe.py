@@ -27,9 +27,10 @@ from pyspark.sql import DataFrame
 from lattica.llm.common import spared
 from lattica.llm.suffix_dedup import Spans
 
-#: Code points per vectorised batch, cached slices per worker, and bytes from which a slice is merged with a heap.
+#: Code points per vectorised batch, cached slices per worker, those learnt lately, and bytes from which a slice is merged with a heap.
 BATCH_CHARS = 1 << 18
 CACHE_SLICES = 400_000
+RECENT_SLICES = 50_000
 LONG_SLICE = 48
 
 # Unicode's White_Space.
@@ -258,9 +259,11 @@ def merger(path: str) -> Merger:
 
 
 class Cached:
-    """Encodes texts; ``encode(words)`` gives the ids of each of the slices that the cache lacks.
+    """Encodes texts; ``encode(words)`` gives the ids of the slices that the cache lacks, one after another, and how
+    many each has.
 
-    The cache is a few flat arrays: sorted 64-bit hashes of slices, where their ids start, and how many.
+    The cache is a few flat arrays: sorted 64-bit hashes of slices, where their ids start, and how many. Slices
+    learnt lately are in small arrays of the same form, which join the others when they are RECENT_SLICES.
     """
 
     def __init__(self, encode):
@@ -268,7 +271,7 @@ class Cached:
         self._clear()
 
     def _clear(self) -> None:
-        self.keys, self.start, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.old, self.new = ((np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in range(2))
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
@@ -283,23 +286,34 @@ class Cached:
                 group, held = [], 0
         yield from self._group(group)
 
-    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.searchsorted(self.keys, hashes)
-        at[at == len(self.keys)] = 0
-        return at, self.keys[at] == hashes if len(self.keys) else np.zeros(len(hashes), bool)
+    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the ids of ``hashes`` start, how many there are, and which are known."""
+        start, size, known = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        for keys, starts, sizes in (self.old, self.new):
+            if len(keys):
+                at = np.searchsorted(keys, hashes)
+                at[at == len(keys)] = 0
+                here = keys[at] == hashes
+                start[here], size[here] = starts[at[here]], sizes[at[here]]
+                known |= here
+        return start, size, known
 
     def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
-        found = self.encode(words)
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        need = self.used + int(size.sum())
+        found, size = self.encode(words)
+        need = self.used + len(found)
         if need > len(self.flat):
             self.flat = np.concatenate([self.flat[: self.used], np.zeros(2 * need - self.used, np.uint32)])
-        self.flat[self.used : need] = np.concatenate(found)
+        self.flat[self.used : need] = found
         start = self.used + np.cumsum(size) - size
         self.used = need
-        keys = np.concatenate([self.keys, hashes])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.start, self.size = keys[order], np.concatenate([self.start, start])[order], np.concatenate([self.size, size])[order]
+        self.new = self._merged(self.new, (hashes, start, size))
+        if len(self.new[0]) >= RECENT_SLICES:
+            self.old, self.new = self._merged(self.old, self.new), tuple(x[:0] for x in self.new)
+
+    @staticmethod
+    def _merged(one: tuple, two: tuple) -> tuple:
+        order = np.argsort(np.concatenate([one[0], two[0]]), kind="stable")
+        return tuple(np.concatenate(pair)[order] for pair in zip(one, two))
 
     def _group(self, group: list[str]) -> Iterator[np.ndarray]:
         full = [t for t in group if t]
@@ -311,14 +325,14 @@ class Cached:
         cuts, first = boundaries(joined, np.cumsum(lengths) - lengths)
         data = joined.encode("utf-8", "surrogatepass")
         hashes, sample, which = np.unique(Spans(np.frombuffer(data, np.uint8)).hash(cuts[:-1], cuts[1:]), return_index=True, return_inverse=True)
-        if len(self.keys) > CACHE_SLICES:
+        if len(self.old[0]) + len(self.new[0]) > CACHE_SLICES:
             self._clear()
-        at, known = self._find(hashes)
+        start, size, known = self._find(hashes)
         if not known.all():
             new = sample[~known]
             self._learn(hashes[~known], [data[a:b] for a, b in zip(cuts[new].tolist(), cuts[new + 1].tolist())])
-            at, known = self._find(hashes)
-        start, size = self.start[at][which], self.size[at][which]
+            start[~known], size[~known], _ = self._find(hashes[~known])
+        start, size = start[which], size[which]
         upto = np.cumsum(size)
         ids = self.flat[np.repeat(start - (upto - size), size) + np.arange(int(upto[-1]))]
         edges = np.append(np.append(0, upto)[first], len(ids)).tolist()
@@ -334,7 +348,12 @@ _ENCODERS: dict = {}
 def rank_encoder(path: str) -> Cached:
     """Ids by a file of ranks; kept in the worker."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Cached(merger(path).merge)
+
+        def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            found = merger(path).merge(words)
+            return np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found))
+
+        _ENCODERS[path] = Cached(encode)
     return _ENCODERS[path]
 
 

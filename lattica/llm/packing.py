@@ -133,10 +133,9 @@ def id_encoder(path: str) -> Cached:
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
 
-        def encode(words: list[bytes]) -> list[np.ndarray]:
+        def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             e = t.encode([w.decode("utf-8") for w in words], is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(e.ids, np.uint32)
-            return np.split(ids, np.searchsorted(np.array(e.word_ids), np.arange(1, len(words))))
+            return np.array(e.ids, np.uint32), np.bincount(np.array(e.word_ids, np.int64), minlength=len(words))
 
         _TOKENIZERS[path] = Cached(encode)
     return _TOKENIZERS[path]

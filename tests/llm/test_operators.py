@@ -747,3 +747,34 @@ def test_long_chain(spark):
     rows = [("c", i, "u", (f"> line {i - 1}\n" if i else "") + f"line {i}") for i in range(70)]
     got = quotes.reply_order(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")).collect()
     assert all((r.thread, r.depth, r.position) == (0, r.turn, r.turn) for r in got)
+
+
+def test_slices_learnt_lately_join_the_others(monkeypatch):
+    """Ids are the same whether slices are found among those learnt lately, among the others, or again after the cache was full; a few new slices do not move all."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdeé漢 '0") for _ in range(rng.randrange(1, 9)))
+    texts = [" ".join(word() for _ in range(30)) for _ in range(120)]
+    texts += texts[:40]
+    m = bpe.merger(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    plain = [np.concatenate(m.merge([w.encode() for w in slices_of(t)])).tolist() for t in texts]
+
+    def encode(words):
+        found = m.merge(words)
+        return np.concatenate(found), np.array([len(x) for x in found])
+
+    monkeypatch.setattr(bpe, "RECENT_SLICES", 300)
+    for most in (1 << 20, 700):
+        monkeypatch.setattr(bpe, "CACHE_SLICES", most)
+        cached, moved = bpe.Cached(encode), 0
+        for t, want in zip(texts, plain):
+            before = cached.old[0]
+            assert [x.tolist() for x in cached.ids(["", t])] == [[], want]
+            assert len(cached.new[0]) < 300
+            moved += cached.old[0] is not before
+        assert 1 < moved < len(texts) / 2
+
+
+def slices_of(text):
+    import regex
+
+    return regex.findall(public_tokenizers.PATTERN, text)
