@@ -4,6 +4,9 @@ Shingles have one order, rare ones first. Two similar sets share a shingle among
 of each (prefix filter), so those are indexed, and pairs that meet are verified on their whole sets. Only
 connected texts matter: a key shared by many texts links each with its neighbours in order and with the
 first, where verified; members not yet connected by that are compared all with all, in blocks.
+
+On request the links of the operator's first form, between fingerprints, count as well: they see repeats of
+shingles, which sets do not, and sets see likeness far beyond a few bits.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.llm.common import spared, stage, unstage
-from lattica.llm.simhash import components, shingle_hashes
+from lattica.llm.simhash import components, fingerprints, links, shingle_hashes
 
 #: Texts under one key up to which they are paired at once.
 PAIRED = 16
@@ -201,14 +204,28 @@ def crowded_links(docs: DataFrame, met: DataFrame, group: DataFrame, words: int,
     return found
 
 
-def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def print_links(docs: DataFrame, bits: int) -> DataFrame:
+    """Links (a, b) that connect the texts of ``docs`` (node, text) whose fingerprints differ in ``bits`` bits or fewer;
+    texts without words are left out."""
+    prints = stage(fingerprints(docs.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("node", "text")), "prints")
+    of = stage(prints.groupBy("fp").agg(F.min("node").alias("least")), "distinct")
+    same = prints.join(of, "fp").filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    end = lambda name: of.select(F.col("fp").alias(name), F.col("least").alias(f"_{name}"))
+    other = links(of.select("fp"), bits).join(end("a"), "a").join(end("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    found = stage(same.unionByName(other), "links")
+    unstage(prints, of)
+    return found
+
+
+def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None) -> DataFrame:
     """All rows and columns of ``docs`` with group_id and kept.
 
     Texts whose sets of ``words``-word shingles (A-Z as a-z) have Jaccard similarity of ``similarity`` or more
-    are linked; group_id is the least id of all texts reachable, and one row of each group stays: one with that id, and of
+    are linked, and with ``bits`` (0 to 2) also those whose fingerprints of three-word shingles, repeats included,
+    differ in so many bits or fewer; group_id is the least id of all texts reachable, and one row of each group stays: one with that id, and of
     rows that repeat it in id and text one by a hash of all columns.
     Null ids come last. Equal texts are linked at once, texts without words to each other alone (if equal). No
-    link is missed and none is below ``similarity``, but for equal hashes of shingles.
+    link is missed and none is below ``similarity``, but for equal hashes of shingles and those of fingerprints.
     Input columns named like an added one are replaced; an empty table gives an empty result.
     """
     docs = docs.drop("group_id", "kept")
@@ -219,13 +236,15 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col:
     once = named.select("node", "text") if nodes.count() == named.count() else named.select("node", "text").dropDuplicates(["node"])
     met = _met(once, words, similarity)
     pairs = stage(candidates(met, similarity), "pairs")
-    links = similar_pairs(named, pairs, words, similarity)
+    found = similar_pairs(named, pairs, words, similarity)
     unstage(pairs)
-    group = stage(components(links), "group")
+    if bits is not None:
+        found = found.unionByName(print_links(once, bits))
+    group = stage(components(found), "group")
     more = crowded_links(named, met, group, words, similarity)
     unstage(met)
     if not more.isEmpty():
-        group = components(links.unionByName(more))
+        group = components(found.unionByName(more))
     member = stage(nodes.join(group, "node", "left").withColumn("root", F.coalesce("root", "node")), "members")
     best = member.groupBy("root").agg(F.min(F.struct("best", "node")).alias("stay"))
     of = member.join(best, "root").select("node", F.col("stay.best.id").alias("group_id"), F.col("stay.node").alias("stay_node"), (F.col("stay.best.n") > 1).alias("ties"))

@@ -88,3 +88,20 @@ def test_runs(spark, name):
     got = queries.QUERIES[name](spark, SMALL)
     n = spark.read.parquet(f"{SMALL}/{'conversations' if name.startswith('op1_') else 'documents'}.parquet").count()
     assert got.count() >= n
+
+
+def test_near_takes_links_of_fingerprints(spark):
+    """Texts of one phrase many times and a few words of their own: their sets of shingles differ, their fingerprints hardly; texts without words are not linked."""
+    from lattica.llm.near_dedup import near_dedup
+    from lattica.llm.simhash import near_duplicates
+
+    rng = random.Random(6)
+    texts = ["red fox runs " * 200 + sentence(rng, 10) for _ in range(3)] + [sentence(rng, 120) for _ in range(30)] + ["", " \t ", None]
+    texts += [texts[5] + " more"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    alike = {r.doc_id for r in near_duplicates(docs).collect() if r.component_id == 0}
+    assert alike == {0, 1, 2}
+    alone = {r.doc_id for r in near_dedup(docs).filter("kept").collect()}
+    assert alike <= alone
+    kept = {r.doc_id for r in corpus_pipeline.near(spark, docs, SMALL).collect()}
+    assert kept == alone - {1, 2} and len(texts) - 1 not in kept
