@@ -18,8 +18,10 @@ sweep, so that neither blocks nor parts nor retries change a score.
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -54,15 +56,16 @@ class Block:
     def __init__(self, classes: int, bits: int):
         """``bits``: a word's part is told by so many leading bits of its hash."""
         self.classes, self.bits = classes, bits
-        self.words: dict[bytes, int] = {b"": 0}  # the end
+        self.words: defaultdict[bytes, int] = defaultdict(count(1).__next__, {b"": 0})  # the end
         self.texts: list[tuple] = []
         self.tokens: list[np.ndarray] = []
         self.held = 0
 
     def add(self, doc_id, text: str) -> None:
         data = text.encode("utf-8", "surrogatepass").translate(_LOWER)
-        number = self.words
-        self.tokens.append(np.array([number.setdefault(w, len(number)) for w in data.split()] + [0], np.int64))
+        words = data.split()
+        words.append(b"")
+        self.tokens.append(np.fromiter(map(self.words.__getitem__, words), np.int64, len(words)))
         self.texts.append((doc_id, held_out(doc_id), len(self.tokens[-1])))
         self.held += len(data) + 64
 
@@ -168,23 +171,28 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
 
 
 def _stirling_at(d: float, c: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """As ``_stirling``, for any c > t > 0: by its alternating sum up to 2 c ** d tables, beyond by saddle point
-    (found by halving log(x / (1 - x)))."""
-    low, high = np.full(t.shape, -60.0), np.full(t.shape, 120.0)
+    """As ``_stirling``, for any c > t > 0 (``c``: one for each row of ``t``): by its alternating sum up to
+    2 c ** d tables, beyond by saddle point (found by halving log(x / (1 - x))); either where it is needed alone."""
+    c = c.ravel()
+    out, near = np.empty(t.shape), t <= (2 * c**d).reshape(-1, *[1] * (t.ndim - 1))
+    row = np.nonzero(near)[0]
+    few, total, choose, most = t[near], np.zeros(len(row)), np.ones(len(row)), _log_gamma(c - d)
+    for j in range(1, 61):
+        choose = choose * (few - j + 1) / j
+        total += choose * ((-1) ** (j + 1) * np.exp(_log_gamma(np.maximum(c - d * j, 1e-3)) - most + _log_gamma(1.0 + d * j)) * np.sin(np.pi * d * j) / np.pi)[row]
+    out[near] = np.log(np.maximum(total, 1e-300)) + most[row]
+    row = np.nonzero(~near)[0]
+    t_far, c_far = t[~near], c[row]
+    low, high, z, most = np.full(len(row), -60.0), np.full(len(row), 120.0), np.zeros(len(row)), np.log(c_far / t_far)
     for _ in range(50):
         z = (low + high) / 2
         up = np.logaddexp(0, z)
-        over = -np.logaddexp(0, -z) + np.log(d) + (1 - d) * up - np.log(-np.expm1(-d * up)) > np.log(c / t)
+        over = z - up + np.log(d) + (1 - d) * up - np.log(-np.expm1(-d * up)) > most
         low, high = np.where(over, low, z), np.where(over, z, high)
-    up, m = np.logaddexp(0, z), c / t
-    spread = np.maximum(c * (1 + (1 - d) * np.exp(z)) - c * m, 1e-3)
-    far = t * np.log(-np.expm1(-d * up)) + c * np.logaddexp(0, -z) - 0.5 * np.log(2 * np.pi * spread) + _log_gamma(c + 1)
-    total, choose, most = np.zeros(t.shape), np.ones(t.shape), _log_gamma(c - d)
-    few = np.minimum(t, 2 * c**d)
-    for j in range(1, 61):
-        choose = choose * (few - j + 1) / j
-        total += (-1) ** (j + 1) * choose * np.exp(_log_gamma(np.maximum(c - d * j, 1e-3)) - most + _log_gamma(1.0 + d * j)) * np.sin(np.pi * d * j) / np.pi
-    return np.where(t <= 2 * c**d, np.log(np.maximum(total, 1e-300)) + most, far) - _log_gamma(t + 1) - t * np.log(d)
+    up, m = np.logaddexp(0, z), c_far / t_far
+    spread = np.maximum(c_far * (1 + (1 - d) * np.exp(z)) - c_far * m, 1e-3)
+    out[~near] = t_far * np.log(-np.expm1(-d * up)) + c_far * np.logaddexp(0, -z) - 0.5 * np.log(2 * np.pi * spread) + _log_gamma(c_far + 1)
+    return out - _log_gamma(t + 1) - t * np.log(d)
 
 
 class Grid:
@@ -283,6 +291,7 @@ class Seating:
         """By word: hash, rows, rows of one customer, tables in the parent; by row: class, customers, tables."""
         self.hashes, self.each, self.singles, self.context, self.count, self.tables, self.roots = hashes, each, singles, context, count, tables, roots
         self.word = np.repeat(np.arange(len(each)), each)
+        self.grid: Grid | None = None  # of the rows, whose customers and discount stay
         self.name = _mix(hashes[self.word] + (context.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1B54A32D192ED03))
 
     @classmethod
@@ -312,7 +321,9 @@ class Seating:
         """Draw half of the rows again in each of ``sweeps``, and at the end the words' tables in the parent; totals
         of other parts are those of the last exchange."""
         shown, shown_roots, new = self.tables.copy(), self.roots.copy(), (ROOT_STRENGTH + whole.d0 * whole.root_tables) * whole.base
-        grid, nth = Grid(self.count, whole.d), np.cumsum(self.count > EXACT) - 1
+        if self.grid is None:
+            self.grid = Grid(self.count, whole.d)
+        grid, nth = self.grid, np.cumsum(self.count > EXACT) - 1
         for s in sweeps:
             own = np.flatnonzero(chances(self.name, s, 0) < 0.5)
             count, word = self.count[own], self.word[own]

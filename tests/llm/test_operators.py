@@ -778,3 +778,23 @@ def slices_of(text):
     import regex
 
     return regex.findall(public_tokenizers.PATTERN, text)
+
+
+def test_grids_are_made_once(monkeypatch):
+    """Several ranges of sweeps over one seating make the grid of its rows once; only that of the parent's words, whose customers change, is made again."""
+    from lattica.llm import pitman_yor as py
+
+    made, plain = [], py.Grid.__init__
+
+    def told(self, count, d):
+        made.append((len(count), d))
+        plain(self, count, d)
+
+    monkeypatch.setattr(py.Grid, "__init__", told)
+    count = np.array([300, 2, 900, 5])
+    s = py.Seating(np.array([3, 9], np.uint64), np.array([2, 2]), np.zeros(2, np.int64), np.array([1, 2, 1, 2]), count, np.ones(4, np.int64), np.ones(2, np.int64))
+    whole = py.Whole(0.6, 0.4, 2, 0, np.bincount(s.context, s.tables, 3), 2)
+    for r in range(4):
+        s.sweep(whole, range(2 * r, 2 * r + 2))
+    assert [d for _, d in made].count(0.6) == 1
+    assert (s.tables >= 1).all() and (s.tables <= count).all()
