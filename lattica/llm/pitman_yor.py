@@ -1,18 +1,20 @@
 """Hierarchical Pitman-Yor language model: restaurants seated by Gibbs sampling, averaged predictions.
 
-A token is a word or the end of a text. Its context is the word before it, or the start of the text; contexts
-are classes of word hashes, as many as the corpus is large, so that frequent words have restaurants of their
-own and rare ones share. A context restaurant's customers are its tokens; its tables are customers of the
+A token is a word or the end of a text. Its context is the word before it, or the start of the text, and every
+context has a restaurant of its own. A context restaurant's customers are its tokens; its tables are customers of the
 one parent restaurant, the empty context, whose tables draw from a base: the unknown word as often as known
 words were seen once, else a known word, all alike. A sweep draws the table counts of half of all (context, word) rows again, each for all its
 customers at once and given all other rows, and those of the parent's words. Discounts are estimated for
 either level from the counts; predictive probabilities of several samples are averaged.
 
-Texts are read once, in blocks: a block keeps its texts as numbers of (context, word) pairs and sends its
-pairs with their counts, packed, to the parts that the words' hashes tell (of V words about V^2 / 2^65 pairs
-collide). Parts merge and seat their words; what the words of different parts share, tables of each context
-class and of the parent, is summed up between rounds of sweeps. Random numbers are hashes of the row and the
-sweep, so that neither blocks nor parts nor retries change a score.
+Texts are read once, in blocks: a block keeps its texts as places in its list of words, and lists these by
+hash (of V words about V^2 / 2^65 pairs collide). Words are dealt to parts by their hash and numbered there, all
+in the order of hashes, so that numbers depend on the words alone. With these a block counts its
+(word, context) pairs and sends them, packed, to the words' parts. Parts merge and seat their words; tables of a
+context, whose words lie in many parts, are summed up between rounds of sweeps, where the context's number says,
+and go back to the parts that seat any of its rows. At the end a part tells each block what it knows of the
+block's words, as words, contexts and pairs. Nothing is held by context anywhere but for a range of
+numbers. Random numbers are hashes of the row and the sweep, so that neither blocks nor parts nor retries change a score.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from copy import copy
 from functools import lru_cache
 from itertools import count
 
@@ -30,15 +33,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import packed, partitions, spared, stage, unpacked, unstage
+from lattica.llm.common import packed, partitions, spared, stage, stage_by, unpacked, unstage
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-#: Context classes: one for so many bytes of text, within these bounds (totals by class, 8 bytes each, go to all tasks).
-CLASS_BYTES, LEAST_CLASSES, MOST_CLASSES = 4096, 1 << 10, 1 << 20
-#: Bytes of text of a block, bytes of text for each part of the words, and classes of a row of totals.
-BLOCK_BYTES, PART_BYTES, CHUNK = 16 << 20, 6 << 20, 4096
-#: Parts that one task seats.
-PARTS_A_TASK = 4
+#: Classes of word hashes by which tests name contexts.
+LEAST_CLASSES = 1 << 10
+#: Bytes of text of a block, and bytes of text for each part of the words.
+BLOCK_BYTES, PART_BYTES = 16 << 20, 6 << 20
+#: Parts that one task seats, and parts whose words' tables, as contexts, are summed up together (from LEAST_RANGES such ranges on).
+PARTS_A_TASK, PARTS_A_RANGE, LEAST_RANGES = 4, 64, 16
 STRENGTH, ROOT_STRENGTH = 2.0, 1.0
 #: Rounds of sweeps before the samples, sweeps a round, samples, and sweeps between them.
 ROUNDS, SWEEPS, SAMPLES, APART = 3, 4, 4, 2
@@ -51,11 +54,11 @@ def held_out(doc_id) -> bool:
 
 
 class Block:
-    """Texts as numbers of distinct (word, context class) pairs."""
+    """Texts as places in the list of their words, which is in the order of the words' hashes."""
 
-    def __init__(self, classes: int, bits: int):
+    def __init__(self, bits: int):
         """``bits``: a word's part is told by so many leading bits of its hash."""
-        self.classes, self.bits = classes, bits
+        self.bits = bits
         self.words: defaultdict[bytes, int] = defaultdict(count(1).__next__, {b"": 0})  # the end
         self.texts: list[tuple] = []
         self.tokens: list[np.ndarray] = []
@@ -75,78 +78,113 @@ class Block:
             return
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words))
         order = np.argsort(hashes)
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        class_of = 1 + ((hashes >> np.uint64(16)) % np.uint64(self.classes - 1)).astype(np.int64)
-        ids, held, sizes = zip(*self.texts)
-        flat = np.concatenate(self.tokens)
-        self.tokens = []
-        before = np.append(0, class_of[flat[:-1]])
-        before[np.cumsum(sizes)[:-1]] = 0  # starts of texts
-        pairs, local = np.unique(rank[flat] * self.classes + before, return_inverse=True)
-        count = np.bincount(local[np.repeat(~np.array(held), sizes)], minlength=len(pairs)).astype(np.uint32)
-        at = np.append(0, np.cumsum(sizes)).tolist()
-        local = local.astype(np.uint32)
-        names, n = ["block", "part", "doc_id", "held_out", "n_tokens", "data"], len(ids)
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        names, n = ["block", "part", "doc_id", "held_out", "n_tokens", "data"], len(self.texts)
         for a in range(0, n, 1000):
             z = min(n, a + 1000)
-            data = [packed(local[i:j]) for i, j in zip(at[a:z], at[a + 1 : z + 1])]
-            yield pa.RecordBatch.from_arrays([pa.array([name] * (z - a), pa.int64()), pa.array([-1] * (z - a), pa.int32()), pa.array(ids[a:z], kind), pa.array(held[a:z]), pa.array(sizes[a:z], pa.int64()), pa.array(data, pa.binary())], names=names)
-        word, context = pairs // self.classes, (pairs % self.classes).astype(np.uint32)
+            ids, held, sizes = zip(*self.texts[a:z])
+            data = [packed(rank[t]) for t in self.tokens[a:z]]
+            yield pa.RecordBatch.from_arrays([pa.array([name] * (z - a), pa.int64()), pa.array([-1] * (z - a), pa.int32()), pa.array(ids, kind), pa.array(held), pa.array(sizes, pa.int64()), pa.array(data, pa.binary())], names=names)
         hashes = hashes[order]
         part = (hashes >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(hashes), np.int64)
         cuts = np.append(np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(part))
-        first = np.searchsorted(word, cuts).tolist()  # every word of a block has pairs
-        each = np.bincount(word, minlength=len(hashes)).astype(np.uint32)
-        for k, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())):
-            i, j = first[k], first[k + 1]
-            data = packed(np.diff(hashes[a:b], prepend=np.uint64(0)), each[a:b], context[i:j], count[i:j])
-            yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([int(part[a])], pa.int32()), pa.nulls(1, kind), pa.nulls(1, pa.bool_()), pa.nulls(1, pa.int64()), pa.array([data], pa.binary())], names=names)
+        data = [packed(np.diff(hashes[a:b], prepend=np.uint64(0))) for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
+        n = len(data)
+        yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.int64()), pa.array(part[cuts[:-1]], pa.int32()), pa.nulls(n, kind), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.int64()), pa.array(data, pa.binary())], names=names)
 
 
-def blocks(docs: DataFrame, classes: int, bits: int) -> DataFrame:
-    """Rows of texts and of pairs of all blocks of ``docs`` (doc_id, text)."""
+def blocks(docs: DataFrame, bits: int) -> DataFrame:
+    """Rows of texts and of words of all blocks of ``docs`` (doc_id, text)."""
     spark_kind = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, made, block, kind = TaskContext.get().partitionId(), 0, Block(classes, bits), None
+        task, made, block, kind = TaskContext.get().partitionId(), 0, Block(bits), None
         for batch in batches:
             kind = batch.schema.field(0).type
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                 block.add(i, t.as_py() or "")
                 if block.held >= BLOCK_BYTES:
                     yield from block.rows(task << 32 | made, kind)
-                    made, block = made + 1, Block(classes, bits)
+                    made, block = made + 1, Block(bits)
         if kind is not None:
             yield from block.rows(task << 32 | made, kind)
 
     return docs.mapInArrow(spared(run), f"block bigint, part int, doc_id {spark_kind.simpleString()}, held_out boolean, n_tokens bigint, data binary")
 
 
+def ranked(words: DataFrame) -> DataFrame:
+    """(block, part, data, size): places of the blocks' words (block, part, data) among all words of a part, and how many these are."""
+
+    def run(group: pa.Table) -> pa.Table:
+        hashes = [np.cumsum(unpacked(x.as_py())[0], dtype=np.uint64) for x in group["data"]]
+        every = np.unique(np.concatenate(hashes))
+        data = [packed(np.diff(np.searchsorted(every, h), prepend=0).astype(np.uint32)) for h in hashes]
+        return pa.table({"block": group["block"], "part": group["part"], "data": pa.array(data, pa.binary()), "size": pa.array([len(every)] * len(data), pa.int64())})
+
+    return words.select("block", "part", "data").groupBy("part").applyInArrow(run, "block bigint, part int, data binary, size bigint")
+
+
+def paired(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block's texts: words of its distinct pairs, contexts (0: the start, else a word and 1), the pair of each token, sizes of texts."""
+    tokens = [unpacked(x.as_py())[0] for x in texts]
+    sizes, flat = np.array([len(t) for t in tokens]), np.concatenate(tokens).astype(np.int64)
+    before = np.append(0, flat[:-1] + 1)
+    before[np.cumsum(sizes)[:-1]] = 0
+    pairs, local = np.unique(flat << 32 | before, return_inverse=True)
+    return pairs >> 32, pairs & 0xFFFFFFFF, local, sizes
+
+
+def counted(texts: DataFrame, ranks: DataFrame, offsets: np.ndarray) -> DataFrame:
+    """(block, part, data): pairs of the blocks' ``texts`` with their training counts; contexts by number (0: the start)."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("part")
+        own = [np.cumsum(unpacked(x.as_py())[0], dtype=np.int64) for x in right["data"]]
+        parts, many = right["part"].to_numpy(), np.array([len(x) for x in own])
+        number = 1 + np.concatenate(own) + np.repeat(offsets[parts], many)
+        word, context, local, sizes = paired(left["data"])
+        count = np.bincount(local[np.repeat(~left["held_out"].to_numpy(), sizes)], minlength=len(word)).astype(np.uint32)
+        context = np.append(0, number)[context]
+        lead = np.r_[True, word[1:] != word[:-1]]  # every word of a block has pairs
+        context = np.where(lead, context, np.diff(context, prepend=0)).astype(np.uint32)
+        each = np.bincount(word, minlength=len(number)).astype(np.uint32)
+        cuts = np.append(0, np.cumsum(many))
+        first = np.searchsorted(word, cuts).tolist()
+        data = [packed(np.diff(x, prepend=0).astype(np.uint32), each[a:b], context[i:j], count[i:j]) for x, a, b, i, j in zip(own, cuts, cuts[1:], first, first[1:])]
+        return pa.table({"block": right["block"], "part": right["part"], "data": pa.array(data, pa.binary())})
+
+    return texts.select("block", "held_out", "data").groupBy("block").cogroup(ranks.select("block", "part", "data").groupBy("block")).applyInArrow(run, "block bigint, part int, data binary")
+
+
 class Counts:
-    """Training counts of the distinct (word, class) pairs of one part, from its blocks' rows."""
+    """Training counts of the distinct (word, context) pairs of one part, from its blocks' rows."""
 
     def __init__(self, rows: list[bytes]):
-        hashes, contexts, counts, self.sizes, self.each = [], [], [], [], []
+        keys, counts, self.sizes, self.each = [], [], [], []
         for data in rows:
             delta, each, context, count = unpacked(data)
-            hashes.append(np.repeat(np.cumsum(delta, dtype=np.uint64), each))
-            contexts.append(context)
+            context = np.cumsum(context, dtype=np.int64)
+            end = np.cumsum(each, dtype=np.int64)
+            before = np.append(0, context[end[:-1] - 1])
+            keys.append(np.repeat(np.cumsum(delta, dtype=np.int64) << 32, each) | context - np.repeat(before, each))
             counts.append(count)
             self.sizes.append(len(context))
             self.each.append(each)
-        name, context, count = (np.concatenate(c) for c in (hashes, contexts, counts))
-        order = np.lexsort((context, name))
-        name, context = name[order], context[order]
-        new_word = np.r_[True, name[1:] != name[:-1]]
-        lead = new_word | np.r_[True, context[1:] != context[:-1]]
+        key, count = np.concatenate(keys), np.concatenate(counts)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        lead = np.r_[True, key[1:] != key[:-1]]
         group = np.cumsum(lead) - 1
         self.inverse = np.empty(len(order), np.int64)
         self.inverse[order] = group
         self.count = np.bincount(group, count[order]).astype(np.int64)
-        self.context = context[lead].astype(np.int64)
-        self.word = (np.cumsum(new_word) - 1)[lead]
-        self.hashes = name[new_word]
+        key = key[lead]
+        self.context = key & 0xFFFFFFFF
+        name = key >> 32
+        new_word = np.r_[True, name[1:] != name[:-1]]
+        self.word = np.cumsum(new_word) - 1
+        self.ranks = name[new_word]
         self.total = np.bincount(self.word, self.count).astype(np.int64)
 
 
@@ -276,42 +314,59 @@ def base(words: int, hapaxes: int) -> tuple[float, float]:
 
 
 class Whole:
-    """What all parts share: discounts, sizes, and totals as of the last exchange."""
+    """What all parts share: discounts, sizes, and totals as of the last exchange; ``tables``: those of a part's contexts."""
 
-    def __init__(self, d: float, d0: float, words: int, hapaxes: int, tables: np.ndarray, root_tables: int):
+    def __init__(self, d: float, d0: float, words: int, hapaxes: int, tables: np.ndarray | None, root_tables: int, root_customers: int | None = None):
         self.d, self.d0 = d, d0
         self.base, self.unknown = base(words, hapaxes)
-        self.tables, self.root_customers, self.root_tables = tables, float(tables.sum()), float(root_tables)
+        self.tables, self.root_tables = tables, float(root_tables)
+        self.root_customers = float(tables.sum() if root_customers is None else root_customers)
+
+    def of(self, tables: np.ndarray) -> Whole:
+        out = copy(self)
+        out.tables = tables
+        return out
 
 
 class Seating:
     """Tables of the rows of more than one customer of a part, and of its words in the parent restaurant."""
 
-    def __init__(self, hashes: np.ndarray, each: np.ndarray, singles: np.ndarray, context: np.ndarray, count: np.ndarray, tables: np.ndarray, roots: np.ndarray):
-        """By word: hash, rows, rows of one customer, tables in the parent; by row: class, customers, tables."""
+    def __init__(self, hashes: np.ndarray, each: np.ndarray, singles: np.ndarray, context: np.ndarray, count: np.ndarray, tables: np.ndarray, roots: np.ndarray, contexts: np.ndarray | None = None):
+        """By word: number, rows, rows of one customer, tables in the parent; by row: place of its context, customers, tables; ``contexts``: their numbers."""
         self.hashes, self.each, self.singles, self.context, self.count, self.tables, self.roots = hashes, each, singles, context, count, tables, roots
+        self.contexts = np.arange(context.max(initial=-1) + 1) if contexts is None else contexts
         self.word = np.repeat(np.arange(len(each)), each)
         self.grid: Grid | None = None  # of the rows, whose customers and discount stay
-        self.name = _mix(hashes[self.word] + (context.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1B54A32D192ED03))
+        self.name = _mix(hashes[self.word] + (self.contexts[context].astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1B54A32D192ED03))
 
     @classmethod
-    def start(cls, counts: Counts) -> Seating:
-        """One table a row and one a word."""
+    def start(cls, counts: Counts, first: int) -> Seating:
+        """One table a row and one a word; ``first``: the number of the part's first word."""
         known = counts.total > 0
         number = np.cumsum(known) - 1
         rows = np.flatnonzero(counts.count > 1)
         word = number[counts.word[rows]]
         n = int(known.sum())
         singles = np.bincount(number[counts.word[counts.count == 1]], minlength=n)
-        return cls(counts.hashes[known], np.bincount(word, minlength=n), singles, counts.context[rows], counts.count[rows], np.ones(len(rows), np.int64), np.ones(n, np.int64))
+        contexts, context = np.unique(counts.context[rows], return_inverse=True)
+        return cls((first + counts.ranks[known]).astype(np.uint64), np.bincount(word, minlength=n), singles, context, counts.count[rows], np.ones(len(rows), np.int64), np.ones(n, np.int64), contexts)
 
     @classmethod
     def read(cls, data: bytes) -> Seating:
-        delta, *rest = unpacked(data)
-        return cls(np.cumsum(delta, dtype=np.uint64), *(x.astype(np.int64) for x in rest))
+        delta, *rest, contexts = unpacked(data)
+        return cls(np.cumsum(delta, dtype=np.uint64), *(x.astype(np.int64) for x in rest), np.cumsum(contexts, dtype=np.int64))
 
     def write(self) -> bytes:
-        return packed(np.diff(self.hashes, prepend=np.uint64(0)), *(x.astype(np.uint32) for x in (self.each, self.singles, self.context, self.count, self.tables, self.roots)))
+        return packed(np.diff(self.hashes, prepend=np.uint64(0)), *(x.astype(np.uint32) for x in (self.each, self.singles, self.context, self.count, self.tables, self.roots)), np.diff(self.contexts, prepend=0).astype(np.uint32))
+
+    def by_context(self) -> np.ndarray:
+        """Tables of each of ``contexts``."""
+        return np.bincount(self.context, self.tables, len(self.contexts)).astype(np.int64)
+
+    def sums(self) -> list[int]:
+        """Tables in the parent, tables in context restaurants, and of these in the start's but for rows of one customer."""
+        own = self.by_context()
+        return [int(self.roots.sum()), int(self.singles.sum() + own.sum()), int(own[self.contexts == 0].sum())]
 
     def customers(self) -> np.ndarray:
         """Customers of each word in the parent."""
@@ -339,80 +394,106 @@ class Seating:
         self.roots[seen] = draw(customers[seen], whole.d0, weight, np.full(len(seen), whole.base), None, None, chances(self.hashes[seen], sweeps[-1], 2), Grid(customers[seen], whole.d0))
 
 
-_SEATED = "part int, chunk int, data binary, stats array<bigint>"
+_SEATED = "part int, chunk int, kind int, data binary, stats array<bigint>"
+#: Kinds of rows: seatings, tables by context, rows of one customer by context, these summed up.
+_STATE, _TABLES, _SINGLES, _FIXED = range(4)
 
 
-def _totals(part: int, by_class: list[np.ndarray]) -> Iterator[tuple]:
-    """Rows of totals by class, CHUNK classes each."""
-    for k in range(0, len(by_class[0]), CHUNK):
-        some = [x[k : k + CHUNK] for x in by_class]
-        if any(x.any() for x in some):
-            yield part, k // CHUNK, packed(*(np.ascontiguousarray(x, np.uint64) for x in some)), None
+def _table(rows: list[tuple]) -> pa.Table:
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
+    names = ("part", "chunk", "kind", "data", "stats")
+    return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(names, kinds))})
 
 
-def _table(rows: list[tuple]) -> pa.Table:
-    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
-    return pa.table({n: pa.array(c, k) for n, c, k in zip(("part", "chunk", "data", "stats"), zip(*rows), kinds)})
+def _dealt(part: int, kind: int, bounds: np.ndarray, contexts: np.ndarray, by_context: list[np.ndarray]) -> Iterator[tuple]:
+    """Rows of totals by context (numbers in order), one for each range of numbers that ``bounds`` tell."""
+    cuts = np.searchsorted(contexts, bounds).tolist()
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        if a < b:
+            yield part, k, kind, packed(np.diff(contexts[a:b], prepend=bounds[k]).astype(np.uint32), *(x[a:b].astype(np.uint64) for x in by_context)), None
 
 
-def summed(seated: DataFrame, classes: int, kinds: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Totals by class of ``kinds`` kinds, and the sums of the parts' stats."""
+def start(pairs: DataFrame, offsets: np.ndarray, bounds: np.ndarray) -> DataFrame:
+    """Each part's seating with one table a row; its tables and rows of one customer by context; and how many rows
+    have one customer, two, words have one row, two, how many words are known, and seen once, tokens, texts, and
+    rows of one customer of the start, then ``Seating.sums``."""
 
-    def add(group: pa.Table) -> pa.Table:
-        out = None
-        for x in group["data"]:
-            now = unpacked(x.as_py())
-            out = now if out is None else [a + b for a, b in zip(out, now)]
-        return pa.table({"chunk": group["chunk"][:1], "data": pa.array([packed(*out)], pa.binary())})
+    def run(group: pa.Table) -> pa.Table:
+        counts, part = Counts([x.as_py() for x in group["data"]]), group["part"][0].as_py()
+        s = Seating.start(counts, 1 + int(offsets[part]))
+        rows_of, single, begun = s.singles + s.each, counts.count == 1, counts.context == 0
+        stats = [int(single.sum()), int((counts.count == 2).sum()), int((rows_of == 1).sum()), int((rows_of == 2).sum()), len(s.each), int((counts.total == 1).sum()), int(counts.count.sum()), int(counts.count[begun].sum()), int((single & begun).sum()), *s.sums()]
+        contexts, singles = np.unique(counts.context[single], return_counts=True)
+        return _table([(part, -1, _STATE, s.write(), stats), *_dealt(part, _TABLES, bounds, s.contexts, [s.by_context()]), *_dealt(part, _SINGLES, bounds, contexts, [singles])])
 
-    totals = [np.zeros(-(-classes // CHUNK) * CHUNK, np.int64) for _ in range(kinds)]
-    for row in seated.filter("chunk >= 0").select("chunk", "data").groupBy("chunk").applyInArrow(add, "chunk int, data binary").collect():  # at most MOST_CLASSES / CHUNK rows
-        for total, x in zip(totals, unpacked(bytes(row["data"]))):
-            total[row["chunk"] * CHUNK : row["chunk"] * CHUNK + len(x)] = x
-    stats = seated.filter("stats is not null")
-    n = stats.select(F.max(F.size("stats"))).first()[0] or 0
-    sums = stats.agg(*(F.sum(F.col("stats")[i]) for i in range(n))).first() if n else []
-    return [t[:classes] for t in totals], np.array([x or 0 for x in sums], np.int64)
+    return pairs.select("part", "data").groupBy("part").applyInArrow(run, _SEATED)
 
 
-def start(pairs: DataFrame, classes: int) -> DataFrame:
-    """Each part's seating with one table a row; customers and rows of one customer by class; and how many rows
-    have one customer, two, words have one row, two, how many words are known, and seen once."""
+def fixed(seated: DataFrame, bounds: np.ndarray) -> DataFrame:
+    """Rows of one customer of each context, whose tables stay: a row for each range of numbers."""
 
     def run(group: pa.Table) -> pa.Table:
-        counts = Counts([x.as_py() for x in group["data"]])
-        s, part = Seating.start(counts), group["part"][0].as_py()
-        rows_of = s.singles + s.each
-        stats = [int((counts.count == 1).sum()), int((counts.count == 2).sum()), int((rows_of == 1).sum()), int((rows_of == 2).sum()), len(s.each), int((counts.total == 1).sum())]
-        by_class = [np.bincount(counts.context, counts.count, classes), np.bincount(counts.context[counts.count == 1], minlength=classes), np.bincount(s.context, s.tables, classes)]
-        return _table([(part, -1, s.write(), stats), *_totals(part, by_class)])
+        k = group["chunk"][0].as_py()
+        total = np.zeros(bounds[k + 1] - bounds[k], np.uint64)
+        for data in group["data"]:
+            delta, singles = unpacked(data.as_py())
+            total[np.cumsum(delta, dtype=np.int64)] += singles
+        return _table([(-1, k, _FIXED, packed(total), None)])
 
-    return pairs.select("part", "data").groupBy("part").applyInArrow(run, _SEATED)
+    return seated.filter(F.col("kind") == _SINGLES).select("chunk", "data").groupBy("chunk").applyInArrow(run, _SEATED)
+
+
+def summed(seated: DataFrame, fixed: DataFrame, bounds: np.ndarray, firsts: np.ndarray | None = None, kinds: int = 1) -> DataFrame:
+    """(part, chunk, kind, data): tables of all parts for the contexts that each part told of; or, with the parts' ``firsts``
+    numbers, for each part those of its own words, ``kinds`` kinds."""
+
+    def run(group: pa.Table) -> pa.Table:
+        k, told, singles = group["chunk"][0].as_py(), [], np.zeros(1, np.uint64)
+        for part, kind, data in zip(group["part"].to_pylist(), group["kind"].to_pylist(), group["data"]):
+            if kind == _FIXED:
+                singles = unpacked(data.as_py())[0]
+            else:
+                delta, *by_context = unpacked(data.as_py())
+                told.append((part, np.cumsum(delta, dtype=np.int64), by_context))
+        totals = [np.zeros(bounds[k + 1] - bounds[k], np.uint64) + singles for _ in range(kinds)]
+        for _, at, by_context in told:
+            for total, x in zip(totals, by_context):
+                total[at] += x
+        if firsts is None:
+            return _table([(part, k, _TABLES, packed(*(t[at] for t in totals)), None) for part, at, _ in told])
+        a = firsts - bounds[k]  # a part's words follow each other
+        return _table([(p, k, _TABLES, packed(*(np.ascontiguousarray(t[a[p] : a[p + 1]]) for t in totals)), None) for p in range(len(firsts) - 1) if 0 <= a[p] < a[p + 1] <= len(totals[0])])
+
+    rows = seated.filter(F.col("kind") == _TABLES).select("part", "chunk", "kind", "data").unionByName(fixed.select("part", "chunk", "kind", "data"))
+    return rows.groupBy("chunk").applyInArrow(run, _SEATED).select("part", "chunk", "kind", "data")
+
+
+def sums(seated: DataFrame) -> list[int]:
+    """The sums of the parts' stats."""
+    stats = seated.filter("stats is not null")
+    n = stats.select(F.max(F.size("stats"))).first()[0] or 0
+    return [x or 0 for x in stats.agg(*(F.sum(F.col("stats")[i]) for i in range(n))).first()] if n else []
 
 
-def swept(seated: DataFrame, classes: int, parts: int, whole: Whole, sweeps: list[range]) -> DataFrame:
-    """``seated`` after ``sweeps``, with the tables by class and the parent's tables after each range of them; the
+def swept(seated: DataFrame, told: DataFrame, bounds: np.ndarray, parts: int, whole: Whole, sweeps: list[range]) -> DataFrame:
+    """``seated`` after ``sweeps``, given tables by context ``told``, with its own after each range of them; the
     seating after each range is kept if there are several."""
-    spark = seated.sparkSession
-    told = spark.sparkContext.broadcast(whole)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_class = [np.zeros(classes) for _ in sweeps]  # of all parts of the task
-        for batch in batches:
-            for part, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                s, kept, roots = Seating.read(data.as_py()), [], []
-                for k, some in enumerate(sweeps):
-                    s.sweep(told.value, some)
-                    kept += [s.tables.astype(np.uint32), s.roots.astype(np.uint32)]
-                    by_class[k] += np.bincount(s.context, s.tables, classes)
-                    roots.append(int(s.roots.sum()))
-                yield from _table([(part, -1, s.write() if len(sweeps) == 1 else packed(*kept), roots)]).to_batches()
-        rows = list(_totals(-1, by_class))
-        if rows:
-            yield from _table(rows).to_batches()
-
-    few = max(partitions(spark), parts // PARTS_A_TASK)  # a part is little to read, and much to do
-    return seated.filter("chunk < 0").select("part", "data").repartition(few, "part").mapInArrow(spared(run), _SEATED)
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("chunk")  # the seating first
+        part, data = group["part"][0].as_py(), [x.as_py() for x in group["data"]]
+        s, kept, by_context, stats = Seating.read(data[0]), [], [], []
+        now = whole.of(np.concatenate([np.zeros(0, np.int64), *(unpacked(x)[0].astype(np.int64) for x in data[1:])]))
+        for some in sweeps:
+            s.sweep(now, some)
+            kept += [s.tables.astype(np.uint32), s.roots.astype(np.uint32)]
+            by_context.append(s.by_context())
+            stats += s.sums()
+        return _table([(part, -1, _STATE, s.write() if len(sweeps) == 1 else packed(*kept), stats), *_dealt(part, _TABLES, bounds, s.contexts, by_context)])
+
+    few = max(partitions(seated.sparkSession), parts // PARTS_A_TASK)  # a part is little to read, and much to do
+    rows = seated.filter(F.col("kind") == _STATE).select("part", "chunk", "kind", "data").unionByName(told)
+    return rows.select("part", "chunk", "data").repartition(few, "part").groupBy("part").applyInArrow(run, _SEATED)
 
 
 def estimated(one: int, two: int) -> float:
@@ -430,67 +511,79 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
-    classes = min(MOST_CLASSES, max(LEAST_CLASSES, 1 << int(size // CLASS_BYTES).bit_length()))
     bits = int(max(partitions(spark), size // PART_BYTES) - 1).bit_length()
-    made = stage(blocks(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), classes, bits), "blocks")
+    parts = 1 << bits
+    made = stage_by(blocks(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), bits), "blocks", ["block"])
     texts = made.filter("part < 0").select("block", "doc_id", "held_out", "n_tokens", "data")
-    pairs = made.filter("part >= 0").select("block", "part", "data")
-    seated = stage(start(pairs, classes), "seated")
-    (customers, singles, tables), stats = summed(seated, classes, 3)
-    one, two, word_one, word_two, words, hapaxes = stats.tolist() if len(stats) else [0] * 6
-    n_tokens, roots = int(customers.sum()), words
-    whole = Whole(estimated(one, two), estimated(word_one, word_two), words, hapaxes, singles + tables, roots)
+    ranks = stage(ranked(made.filter("part >= 0")), "ranks")
+    sizes = np.zeros(parts, np.int64)
+    for row in ranks.groupBy("part").agg(F.max("size").alias("size")).collect():  # as many as parts
+        sizes[row["part"]] = row["size"]
+    offsets = np.append(0, np.cumsum(sizes))
+    bounds = 1 + offsets[:: max(1, min(PARTS_A_RANGE, parts // LEAST_RANGES))]  # of ranges of numbers
+    bounds[0] = 0
+    pairs = stage_by(counted(texts, ranks, offsets), "pairs", ["part"])
+    unstage(ranks)
+    seated = stage(start(pairs, offsets, bounds), "seated")
+    one, two, word_one, word_two, words, hapaxes, n_tokens, n_texts, begun, *now = sums(seated) or [0] * 12
+    d, d0 = estimated(one, two), estimated(word_one, word_two)
+    single = stage(fixed(seated, bounds), "fixed")
     for r in range(ROUNDS):
-        now = stage(swept(seated, classes, 1 << bits, whole, [range(r * SWEEPS, (r + 1) * SWEEPS)]), "seated")
+        whole = Whole(d, d0, words, hapaxes, None, now[0], now[1])
+        after = stage(swept(seated, summed(seated, single, bounds), bounds, parts, whole, [range(r * SWEEPS, (r + 1) * SWEEPS)]), "seated")
         unstage(seated)
-        seated = now
-        (tables,), roots = summed(seated, classes, 1)
-        whole = Whole(whole.d, whole.d0, words, hapaxes, singles + tables, int(roots.sum()))
+        seated, now = after, sums(after) or now
     begin = ROUNDS * SWEEPS
-    sampled = stage(swept(seated, classes, 1 << bits, whole, [range(begin + k * APART, begin + (k + 1) * APART) for k in range(SAMPLES)]), "sampled")
+    whole = Whole(d, d0, words, hapaxes, None, now[0], now[1])
+    sampled = stage(swept(seated, summed(seated, single, bounds), bounds, parts, whole, [range(begin + k * APART, begin + (k + 1) * APART) for k in range(SAMPLES)]), "sampled")
     unstage(seated)
-    by_sample, roots = summed(sampled, classes, SAMPLES)
-    roots = roots if len(roots) else np.zeros(SAMPLES)
-    told = spark.sparkContext.broadcast((customers, [singles + t for t in by_sample], [float(x) for x in roots], whole))
-
-    def predict(left: pa.Table, right: pa.Table) -> pa.Table:
-        customers, tables, roots, whole = told.value
-        d, d0 = whole.d, whole.d0
-        c, state = Counts([x.as_py() for x in left["data"]]), unpacked(right["data"][0].as_py())
-        p = np.zeros(len(c.count))
+    now = sums(sampled) or [0] * (3 * SAMPLES)
+    roots, tables, started = now[::3], now[1::3], [begun + x for x in now[2::3]]
+
+    def tell(left: pa.Table, right: pa.Table) -> pa.Table:
+        c, of_context, state = Counts([x.as_py() for x in left["data"]]), [], None
+        for chunk, data in zip(right["chunk"].to_pylist(), right["data"]):
+            if chunk < 0:
+                state = unpacked(data.as_py())
+            else:
+                of_context = [x[c.ranks] for x in unpacked(data.as_py())]
+        of_context = of_context or [np.zeros(len(c.ranks), np.uint64)] * SAMPLES
+        more, by_word = np.zeros(len(c.count), np.int64), [c.total]
         for k in range(SAMPLES):
-            t, t0 = (c.count > 0).astype(float), np.zeros(len(c.total))
+            t, t0 = (c.count > 0).astype(np.int64), np.zeros(len(c.total), np.int64)
             t[c.count > 1], t0[c.total > 0] = state[2 * k], state[2 * k + 1]
-            c0, all_tables = np.bincount(c.word, t, len(c.total)), float(tables[k].sum())
-            root = (c0 - d0 * t0 + (ROOT_STRENGTH + d0 * roots[k]) * np.where(c.total > 0, whole.base, whole.unknown)) / (ROOT_STRENGTH + all_tables)
-            p += (c.count - d * t + (STRENGTH + d * tables[k][c.context]) * root[c.word]) / (STRENGTH + customers[c.context])
-        log_p = np.log10(p / SAMPLES).astype("<f4")[c.inverse]
-        total = c.total[c.word][c.inverse]
+            more += np.maximum(t - 1, 0)
+            by_word += [np.bincount(c.word, t, len(c.total)), t0, of_context[k]]
+        by_word = [x.astype(np.uint64) for x in by_word]
         at, data = 0, []
         for size, each in zip(c.sizes, c.each):
-            lead = at + np.cumsum(each, dtype=np.int64) - each
-            data.append(packed(each, total[lead].astype(np.uint64), log_p[at : at + size].view("<u4")))
+            own = c.inverse[at : at + size]
+            word = c.word[own[np.cumsum(each, dtype=np.int64) - each]]
+            data.append(packed(*(x[word] for x in by_word), c.count[own].astype(np.uint32), more[own].astype(np.uint32)))
             at += size
         return pa.table({"block": left["block"], "part": left["part"], "answer": pa.array(data, pa.binary())})
 
-    state = sampled.filter("chunk < 0").select("part", "data")
-    answers = pairs.groupBy("part").cogroup(state.groupBy("part")).applyInArrow(predict, "block bigint, part int, answer binary")
+    state = sampled.filter(F.col("kind") == _STATE).select("part", "chunk", "kind", "data").unionByName(summed(sampled, single, bounds, 1 + offsets, SAMPLES)).select("part", "chunk", "data")
+    answers = pairs.groupBy("part").cogroup(state.groupBy("part")).applyInArrow(tell, "block bigint, part int, answer binary")
     floor = -np.log10(n_tokens + words + 1.0)
     kind = texts.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"]
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        total, log_p = [], []
-        for x in right.sort_by("part")["answer"]:
-            each, count, p = unpacked(x.as_py())
-            total.append(np.repeat(count, each).astype(np.int64))
-            log_p.append(p.view("<f4").astype(float))
-        total, log_p = np.concatenate(total), np.concatenate(log_p)
-        base, rows = np.log10(total + 1.0) + floor, []
-        for data in left["data"]:
-            ids = unpacked(data.as_py())[0]
-            rows.append((int(np.count_nonzero(total[ids])), n_tokens, float(base[ids].sum()), float(log_p[ids].sum()), float(10 ** min(300.0, -log_p[ids].mean()))))
-        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
-        return pa.Table.from_arrays([left["doc_id"], left["held_out"], left["n_tokens"], *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=names)
+        total, *by_word, count, more = (np.concatenate(x).astype(float) for x in zip(*(unpacked(x.as_py()) for x in right.sort_by("part")["answer"])))
+        word, context, local, sizes = paired(left["data"])
+        known = total > 0
+        p = np.zeros(len(word))
+        for k in range(SAMPLES):
+            c0, t0, of_context = by_word[3 * k : 3 * k + 3]
+            root = (c0 - d0 * t0 + (ROOT_STRENGTH + d0 * roots[k]) * np.where(known, whole.base, whole.unknown)) / (ROOT_STRENGTH + tables[k])
+            p += (STRENGTH + d * np.append(started[k], of_context)[context]) * root[word]
+        p = (count - d * ((count > 0) + more / SAMPLES) + p / SAMPLES) / (STRENGTH + np.append(n_texts, total)[context])
+        starts = np.cumsum(sizes) - sizes
+        score = np.add.reduceat(np.log10(p)[local], starts)
+        base = np.add.reduceat((np.log10(total + 1.0) + floor)[word][local], starts)
+        n_known = np.add.reduceat(known[word][local].astype(np.int64), starts)
+        columns = [pa.array(n_known), pa.array(np.full(len(sizes), n_tokens, np.int64)), pa.array(base), pa.array(score), pa.array(10 ** np.minimum(300.0, -score / sizes))]
+        return pa.Table.from_arrays([left["doc_id"], left["held_out"], left["n_tokens"], *columns], names=names)
 
     return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double")

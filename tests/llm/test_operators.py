@@ -798,3 +798,20 @@ def test_grids_are_made_once(monkeypatch):
         s.sweep(whole, range(2 * r, 2 * r + 2))
     assert [d for _, d in made].count(0.6) == 1
     assert (s.tables >= 1).all() and (s.tables <= count).all()
+
+
+def test_contexts_do_not_share_restaurants(spark):
+    """Two words whose hashes fall into one class of 1,023, with other words after them: either tells the word that follows it."""
+    by = collections.defaultdict(list)
+    for w in (f"u{i}" for i in range(5000)):
+        by[(xxhash.xxh64_intdigest(w) >> 16) % (pitman_yor.LEAST_CLASSES - 1)].append(w)
+    one, two = next(ws for ws in by.values() if len(ws) > 1)[:2]
+    rows = [(i, f"{one} left" if i % 2 else f"{two} right") for i in range(400)]
+    rows += [(1000 + k, t) for k, t in enumerate((f"{one} left", f"{one} right", f"{two} right", f"{two} left") * 5)]
+    rows = [r for r in rows if r[0] >= 1000 or not pitman_yor.held_out(r[0])]
+    rows = [(next(i for i in itertools.count(i * 1000) if pitman_yor.held_out(i)), t) if i >= 1000 else (i, t) for i, t in rows]
+    got = pitman_yor.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    score = {t: {r.score for r in got if r.held_out and dict(rows)[r.doc_id] == t} for t in {t for i, t in rows if i >= 1000}}
+    assert len(score) == 4 and all(len(x) == 1 for x in score.values())
+    of = {t: x.pop() for t, x in score.items()}
+    assert of[f"{one} left"] > of[f"{one} right"] + 1 and of[f"{two} right"] > of[f"{two} left"] + 1
