@@ -33,13 +33,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import packed, partitions, spared, stage, stage_by, unpacked, unstage
+from lattica.llm.common import give_back, packed, partitions, spared, stage, stage_by, unpacked, unstage
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Classes of word hashes by which tests name contexts.
 LEAST_CLASSES = 1 << 10
 #: Bytes of text of a block, and bytes of text for each part of the words.
-BLOCK_BYTES, PART_BYTES = 16 << 20, 6 << 20
+BLOCK_BYTES, PART_BYTES = 8 << 20, 6 << 20
 #: Parts that one task seats, and parts whose words' tables, as contexts, are summed up together (from LEAST_RANGES such ranges on).
 PARTS_A_TASK, PARTS_A_RANGE, LEAST_RANGES = 4, 64, 16
 STRENGTH, ROOT_STRENGTH = 2.0, 1.0
@@ -128,17 +128,21 @@ def ranked(words: DataFrame) -> DataFrame:
 def paired(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a block's texts: words of its distinct pairs, contexts (0: the start, else a word and 1), the pair of each token, sizes of texts."""
     tokens = [unpacked(x.as_py())[0] for x in texts]
-    sizes, flat = np.array([len(t) for t in tokens]), np.concatenate(tokens).astype(np.int64)
-    before = np.append(0, flat[:-1] + 1)
-    before[np.cumsum(sizes)[:-1]] = 0
-    pairs, local = np.unique(flat << 32 | before, return_inverse=True)
-    return pairs >> 32, pairs & 0xFFFFFFFF, local, sizes
+    sizes, flat = np.array([len(t) for t in tokens]), np.concatenate(tokens)
+    pair = flat.astype(np.int64) << 32
+    pair[1:] += flat[:-1] + np.uint32(1)
+    starts = np.cumsum(sizes) - sizes
+    pair[starts] = flat[starts].astype(np.int64) << 32
+    del tokens, flat
+    pair, local = np.unique(pair, return_inverse=True)
+    return pair >> 32, pair & 0xFFFFFFFF, local.astype(np.int32), sizes
 
 
 def counted(texts: DataFrame, ranks: DataFrame, offsets: np.ndarray) -> DataFrame:
     """(block, part, data): pairs of the blocks' ``texts`` with their training counts; contexts by number (0: the start)."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        give_back()  # what the group before held
         right = right.sort_by("part")
         own = [np.cumsum(unpacked(x.as_py())[0], dtype=np.int64) for x in right["data"]]
         parts, many = right["part"].to_numpy(), np.array([len(x) for x in own])
@@ -541,6 +545,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots, tables, started = now[::3], now[1::3], [begun + x for x in now[2::3]]
 
     def tell(left: pa.Table, right: pa.Table) -> pa.Table:
+        give_back()
         c, of_context, state = Counts([x.as_py() for x in left["data"]]), [], None
         for chunk, data in zip(right["chunk"].to_pylist(), right["data"]):
             if chunk < 0:
@@ -570,6 +575,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"]
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        give_back()
         total, *by_word, count, more = (np.concatenate(x).astype(float) for x in zip(*(unpacked(x.as_py()) for x in right.sort_by("part")["answer"])))
         word, context, local, sizes = paired(left["data"])
         known = total > 0
