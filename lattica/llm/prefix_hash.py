@@ -33,6 +33,26 @@ def _mod(x: np.ndarray) -> np.ndarray:
     return np.minimum(x, x - _P)  # the lesser of the two is below the prime, as the difference wraps
 
 
+def _folded(x: np.ndarray) -> np.ndarray:
+    """``x`` in place, a product of two numbers below the prime: congruent to it and below twice the prime."""
+    high = x >> np.uint64(31)
+    x &= _P
+    x += high
+    return x
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime of numbers below it."""
+    x = _folded(a * b)
+    return np.minimum(x, x - _P, out=x)
+
+
+def _minus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differences modulo the prime of numbers below it."""
+    x = a - b
+    return np.minimum(x, x + _P, out=x)  # a negative one wraps, and adding the prime wraps it back
+
+
 class _Powers:
     """Powers of the bases and of their inverses, grown to the longest text seen."""
 
@@ -50,7 +70,7 @@ class _Powers:
         p, have, top = np.ones(self.size, np.uint64), 1, base
         while have < self.size:
             take = min(have, self.size - have)
-            p[have : have + take] = _mod(p[:take] * np.uint64(top))
+            p[have : have + take] = _times(p[:take], np.uint64(top))
             top = top * top % PRIME
             have += take
         return p
@@ -69,24 +89,33 @@ class Prefix:
         self.sums = []
         for up in _POWERS.up:
             sums = np.zeros(self.n + 1, np.uint64)
-            np.cumsum(_mod(points * up[: self.n]), out=sums[1:])  # below 2^31 each: exact for 2^33 code points
+            np.cumsum(_folded(points * up[: self.n]), out=sums[1:])  # below 2^32 each: exact for 2^32 code points
             self.sums.append(_mod(sums))
 
     def hash(self, start, stop) -> np.ndarray:
         """62-bit hashes of spans [start, stop), alone or arrays of them."""
         start, stop = np.atleast_1d(start), np.atleast_1d(stop)
-        a, b = (_mod(_mod(s[stop] + _P - s[start]) * down[start]) for s, down in zip(self.sums, _POWERS.down))
+        a, b = (_times(_minus(s[stop], s[start]), down[start]) for s, down in zip(self.sums, _POWERS.down))
         return a << np.uint64(31) | b
 
+    def one(self, start: int, stop: int) -> int:
+        """``hash`` of a single span, without arrays."""
+        a, b = ((s.item(stop) - s.item(start)) * down.item(start) % PRIME for s, down in zip(self.sums, _POWERS.down))
+        return a << 31 | b
+
     def equal(self, start: int, other: Prefix, at: int, length: int) -> bool:
         """Whether two spans of ``length`` are equal."""
         if length < 0 or start + length > self.n or at + length > other.n:
             return False
-        return bool(self.hash(start, start + length)[0] == other.hash(at, at + length)[0])
+        return self.one(start, start + length) == other.one(at, at + length)
 
     def extension(self, start: int, other: Prefix, at: int) -> int:
-        """How many code points from ``start`` here and ``at`` there agree, by binary search."""
-        least, most = 0, min(self.n - start, other.n - at)
+        """How many code points from ``start`` here and ``at`` there agree: by doubled lengths up to one
+        that does not, as most texts part early, and a binary search below it."""
+        least, most, length = 0, min(self.n - start, other.n - at), 1
+        while length <= most and self.equal(start, other, at, length):
+            least, length = length, 2 * length
+        most = min(most, length - 1)
         while least < most:
             middle = (least + most + 1) // 2
             least, most = (middle, most) if self.equal(start, other, at, middle) else (least, middle - 1)
@@ -98,16 +127,14 @@ class Prefix:
             return np.zeros(0, np.uint64)
         span = min(SPAN, self.n)
         m = self.n - span + 1
-        a, b = (_mod(_mod(s[span:] + _P - s[:m]) * down[:m]) for s, down in zip(self.sums, _POWERS.down))
+        a, b = (_times(_minus(s[span:], s[:m]), down[:m]) for s, down in zip(self.sums, _POWERS.down))
         return _mixed(a << np.uint64(31) | b)
 
-    def joined(self, own: int, other: Prefix, theirs: int) -> np.ndarray:
+    def joined(self, own: int, other: Prefix, theirs: int) -> int:
         """The hash of this text's first ``own`` code points followed by the other's first ``theirs``."""
         _POWERS.grow(own + 1)
-        out = []
-        for mine, their, up in zip(self.sums, other.sums, _POWERS.up):
-            out.append(_mod(mine[own : own + 1] + _mod(their[theirs : theirs + 1] * up[own : own + 1])))
-        return out[0] << np.uint64(31) | out[1]
+        a, b = ((mine.item(own) + their.item(theirs) * up.item(own)) % PRIME for mine, their, up in zip(self.sums, other.sums, _POWERS.up))
+        return a << 31 | b
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -124,16 +151,16 @@ def sketch(spans: np.ndarray) -> np.ndarray:
         slot = some & np.uint64(SLOTS - 1)
         key = np.sort(slot << np.uint64(32) | some >> np.uint64(32))
         slot = (key >> np.uint64(32)).astype(np.int64)
-        first = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]]) if len(slot) else np.zeros(0, int)
+        first = np.concatenate([[0], np.flatnonzero(slot[1:] != slot[:-1]) + 1]) if len(slot) else np.zeros(0, int)
         out[slot[first]] = np.minimum(key[first] & np.uint64(0xFFFF), np.uint64(_EMPTY - 1))
         if len(first) == SLOTS:
             break
     return out
 
 
-def fingerprint(whole: np.ndarray, n: int, spans: np.ndarray) -> str:
+def fingerprint(whole: int, n: int, spans: np.ndarray) -> str:
     """Hex: the whole text's hash (16 digits), its length (16), and the sketch (4 for each slot)."""
-    return f"{int(whole[0]):016x}{n:016x}" + sketch(spans).astype(">u2").tobytes().hex()
+    return f"{whole:016x}{n:016x}" + sketch(spans).astype(">u2").tobytes().hex()
 
 
 def likeness(a: str, b: str) -> float:
@@ -163,7 +190,7 @@ class _Read:
     def __init__(self, text: str):
         self.text, self.prefix = text, Prefix(text)
         self.spans = self.prefix.spans()
-        self.mark = fingerprint(self.prefix.hash(0, self.prefix.n), self.prefix.n, self.spans)
+        self.mark = fingerprint(self.prefix.one(0, self.prefix.n), self.prefix.n, self.spans)
 
 
 def _compare(own: _Read, then: _Read) -> tuple:

@@ -219,6 +219,35 @@ def test_prefix_hash(spark, odd, empty):
     assert one.near_next == 1.0 and one.edited_sha256 == hashlib.sha256(b"abab").hexdigest()
 
 
+def test_prefix_hash_extensions_stop_early(monkeypatch):
+    """Texts that part early take few comparisons, whatever their lengths; extensions are right at every length."""
+    asked, was = [], prefix_hash.Prefix.equal
+    monkeypatch.setattr(prefix_hash.Prefix, "equal", lambda self, *a: asked.append(a) or was(self, *a))
+    text = "".join(random.Random(5).choice("ab😀") for _ in range(5000))
+    p = prefix_hash.Prefix(text)
+    for n in (*range(40), 1023, 1024, 1025, 4999, 5000):
+        q = prefix_hash.Prefix(text[:n] + "#" * 5000)
+        asked.clear()
+        assert p.extension(0, q, 0) == n and len(asked) <= 2 * n.bit_length() + 1
+        assert p.extension(7, prefix_hash.Prefix("xyz" + text[7 : 7 + n]), 3) == min(n, 4993)
+
+
+def test_prefix_hashes_of_great_numbers():
+    """Arrays, single spans and joined texts of the largest code points, longer than 2^16, by plain integers."""
+    text = "\U0010ffff" * 70_000
+    p, q = prefix_hash.Prefix(text), prefix_hash.Prefix("\0" * 40 + text[:70])
+    plain, sums = lambda t: [sum((ord(c) + 1) * pow(base, i, prefix_hash.PRIME) for i, c in enumerate(t)) % prefix_hash.PRIME for base in prefix_hash.BASES], []
+    for t, x in ((text, p), ("\0" * 40 + text[:70], q)):
+        a, b = plain(t)
+        assert x.one(0, x.n) == int(x.hash(0, x.n)[0]) == a << 31 | b
+        sums += [int(v.max()) for v in x.sums]
+    assert max(sums) < prefix_hash.PRIME
+    a, b = plain("\0" * 40 + text[:70] + text)
+    assert q.joined(110, p, 70_000) == a << 31 | b
+    assert [p.one(i, i + 16) for i in (0, 9, 69_984)] == [int(h) for h in p.hash(np.array([0, 9, 69_984]), np.array([16, 25, 70_000]))]
+    assert len(set(p.spans().tolist())) == 1 and p.spans()[0] == prefix_hash._mixed(p.hash(5, 21))[0]
+
+
 # --- 7
 
 def test_ordinal(spark, odd, empty):
